@@ -1,5 +1,5 @@
 """Equivalent DuckDB SQL for the registered queries."""
 
-from oracles import metrics
+from oracles import metrics, ranking
 
-ORACLES = {**metrics.ORACLES}
+ORACLES = {**metrics.ORACLES, **ranking.ORACLES}

@@ -71,7 +71,7 @@ def normalize_context(c: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """Case-preserving whitespace tokens, in order, with repeats."""
-    return F.filter(F.split(text_or_empty(c), WHITESPACE), lambda w: w != "")
+    return F.array_remove(F.split(text_or_empty(c), WHITESPACE), "")
 
 
 def words(c: Column) -> Column:

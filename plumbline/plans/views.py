@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.functions.vectors import hash_embedding
 from plumbline.operators.cost_metrics import PRICES
 from plumbline.operators.evaluate import evaluate, long_scores
 from plumbline.operators.providers import build_prompt, echo_answer
@@ -202,3 +203,47 @@ def judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id") % 7,
     )
     return docs.select("doc_id", F.coalesce(body, F.col("text")).alias("response"))
+
+
+def rank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def rank_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id) for documents that contain the whole query text.
+
+    Candidates come from an equi-join on four inner words of the query, which
+    stand whole in any text that contains it; the containment test then
+    decides. Query passages have at least six words.
+    """
+    queries = rank_queries(spark, sf_dir)
+    anchored = queries.select(
+        "query_id",
+        "text",
+        F.array_join(F.slice(tx.split_words(F.col("text")), 2, 4), " ").alias("anchor"),
+    )
+    docs = rank_docs(spark, sf_dir).withColumn("w", tx.split_words(F.col("content")))
+    runs = tx.let(
+        F.col("w"),
+        lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))),
+            lambda i: F.concat_ws(" ", F.slice(w, i, 4)),
+        ),
+    )
+    grams = docs.select("doc_id", "content", F.explode(F.array_distinct(runs)).alias("anchor"))
+    return (
+        grams.join(anchored, "anchor")
+        .where(F.contains("content", "text"))
+        .select("query_id", "doc_id")
+    )
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts embedded by the hash embedder, in the width of the vector table."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), hash_embedding(F.col("text"), 64).alias("v")
+    )
