@@ -1,5 +1,5 @@
 """Equivalent DuckDB SQL for the registered queries."""
 
-from oracles import metrics, ranking
+from oracles import corpus, metrics, ranking
 
-ORACLES = {**metrics.ORACLES, **ranking.ORACLES}
+ORACLES = {**metrics.ORACLES, **ranking.ORACLES, **corpus.ORACLES}

@@ -247,3 +247,40 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), hash_embedding(F.col("text"), 64).alias("v")
     )
+
+
+def chunk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk of a document with the one after it, as the contexts of an item."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = docs.select("doc_id", tx.chunks(F.col("text"), 1000, 200).alias("cs"))
+    paired = tx.let(
+        F.col("cs"),
+        lambda cs: F.transform(cs, lambda c, i: F.array_compact(F.array(c, F.get(cs, i + 1)))),
+    )
+    return pieces.select("doc_id", F.posexplode(paired).alias("i", "contexts")).select(
+        (F.col("doc_id") * 100000 + F.col("i")).alias("item_id"),
+        "contexts",
+        F.lit(500).alias("chunk_size"),
+        F.lit(50).alias("chunk_overlap"),
+    )
+
+
+def verdict_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's reply per document and its successor: JSON in prose, or no JSON at all."""
+    docs = table(spark, sf_dir, "documents")
+    confidence = F.format_string("%.2f", F.col("n_chars") % 100 / 100.0)
+    body = F.concat(
+        F.lit('Sure. {"contradicts": '),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("false")).otherwise(F.lit("true")),
+        F.lit(', "confidence": '), confidence,
+        F.lit(', "topic": "'), F.col("lang"), F.lit(" "), F.col("source"),
+        F.lit('", "explanation": "They differ.", "sources": [{"id": '),
+        F.col("doc_id").cast("string"), F.lit('}, {"id": '),
+        (F.col("doc_id") + 1).cast("string"), F.lit("}]} Anything else?"),
+    )
+    reply = F.when(F.col("doc_id") % 10 == 9, plain("text")).otherwise(body)
+    return docs.select(
+        F.col("doc_id").alias("doc_a"),
+        (F.col("doc_id") + 1).alias("doc_b"),
+        reply.alias("response"),
+    )
