@@ -186,8 +186,31 @@ def best_context(claim: Column, contexts: Column) -> Column:
     return let(word_set(claim), pick)
 
 
+PROBE_CHARS, PROBE_TRIES = 16, 32
+
+
 def _longest_border(a: str, b: str) -> int:
-    """Length of the longest suffix of ``a`` that is a prefix of ``b`` (linear time)."""
+    """Length of the longest suffix of ``a`` that is a prefix of ``b``.
+
+    Finds where the opening of ``b`` stands in ``a``; texts that repeat it too
+    often take the linear-time way, so no input is quadratic.
+    """
+    if len(b) >= PROBE_CHARS:
+        probe, at = b[:PROBE_CHARS], -1
+        for _ in range(PROBE_TRIES):
+            at = a.find(probe, at + 1)
+            if at < 0:
+                break
+            if a[at:] == b[: len(a) - at]:
+                return len(a) - at
+        else:
+            return _border_by_failure(a, b)
+    short = min(PROBE_CHARS - 1, len(b))
+    return next((n for n in range(short, 0, -1) if a.endswith(b[:n])), 0)
+
+
+def _border_by_failure(a: str, b: str) -> int:
+    """The same by the prefix function of ``b``, in linear time."""
     fail = [0] * len(b)
     k = 0
     for i in range(1, len(b)):
@@ -207,9 +230,7 @@ def _longest_border(a: str, b: str) -> int:
     return k
 
 
-@F.pandas_udf(T.IntegerType())
-def char_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest text that ends one side and begins the other, either way round."""
+def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a.fillna(""), b.fillna("")):
         if not x or not y:
@@ -220,6 +241,15 @@ def char_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
+def char_overlap(a: Column, b: Column) -> Column:
+    """Longest text that ends one side and begins the other, either way round.
+
+    Marked non-deterministic so that a filter on the result is not turned into a
+    second call of the function.
+    """
+    return F.pandas_udf(_overlaps, T.IntegerType()).asNondeterministic()(a, b)
+
+
 def chunks(c: Column, size: int = 2000, overlap: int = 200) -> Column:
     """Fixed windows of ``size`` characters, stripped, blanks dropped."""
     if size < 1 or overlap < 0 or overlap >= size:
@@ -259,9 +289,6 @@ def topic_label(c: Column) -> Column:
 
 def judge_score(response: Column) -> Column:
     """A score in [0, 1] from free judge text."""
-    text = text_or_empty(response)
-    number = F.regexp_extract(text, r"(\d+\.?\d*)", 1)
-
     def scale(n: Column) -> Column:
         return (
             F.when(n <= 1.0, n)
@@ -269,18 +296,28 @@ def judge_score(response: Column) -> Column:
             .otherwise(F.least(n / 100.0, F.lit(1.0)))
         )
 
-    by_keyword = (
-        F.when(F.lower(text).rlike(JUDGE_YES), F.lit(1.0))
-        .when(F.lower(text).rlike(JUDGE_NO), F.lit(0.0))
-        .otherwise(F.lit(0.5))
-    )
-    return F.when(number == "", by_keyword).otherwise(let(number.cast("double"), scale))
+    def by_keyword(lowered: Column) -> Column:
+        return (
+            F.when(lowered.rlike(JUDGE_YES), F.lit(1.0))
+            .when(lowered.rlike(JUDGE_NO), F.lit(0.0))
+            .otherwise(F.lit(0.5))
+        )
+
+    def read(text: Column) -> Column:
+        return let(
+            F.regexp_extract(text, r"(\d+\.?\d*)", 1),
+            lambda n: F.when(n == "", let(F.lower(text), by_keyword)).otherwise(
+                let(n.cast("double"), scale)
+            ),
+        )
+
+    return let(text_or_empty(response), read)
 
 
 def embedded_json(response: Column) -> Column:
     """The text from the first ``{`` to the last ``}`` when it is valid JSON, else null."""
     block = F.regexp_extract(text_or_empty(response), r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(block).isNotNull(), block)
+    return let(block, lambda b: F.when(F.try_parse_json(b).isNotNull(), b))
 
 
 def json_path(payload: Column, path: str | None) -> Column:

@@ -95,7 +95,7 @@ def excess_overlap(df: DataFrame, *keys: str, chunk_overlap: str = "chunk_overla
         *keys, F.col(chunk_overlap).cast("int").alias("expected"), F.inline(pairs)
     )
     measured = rows.select(
-        *keys, "expected", "ctx_i", "ctx_j", char_overlap("a", "b").alias("chars")
+        *keys, "expected", "ctx_i", "ctx_j", char_overlap(F.col("a"), F.col("b")).alias("chars")
     )
     return measured.where(F.col("chars") > F.col("expected") * OVERLAP_FACTOR).select(
         *keys,

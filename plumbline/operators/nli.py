@@ -95,8 +95,8 @@ def claim_support(
 def evidence_rows(supported: DataFrame) -> DataFrame:
     """One row per claim from ``claim_support``: claim_idx, claim, ctx_idx, score, supported."""
     return supported.select(
-        "item_id", "claims", F.posexplode("evidence").alias("claim_idx", "e")
-    ).select(
+        "item_id", "claims", F.posexplode_outer("evidence").alias("claim_idx", "e")
+    ).where(F.col("claim_idx").isNotNull()).select(
         "item_id",
         "claim_idx",
         F.get("claims", F.col("claim_idx")).alias("claim"),

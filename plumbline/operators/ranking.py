@@ -102,7 +102,9 @@ def bm25_scores(
     )
     length = F.size("tokens").alias("dl")
     postings = (
-        tokenized.select("doc_id", length, F.explode("tokens").alias("term"))
+        # explode_outer: a plain explode of a computed column makes Spark add a filter on
+        # its size, which tokenises every text a second time.
+        tokenized.select("doc_id", length, F.explode_outer("tokens").alias("term"))
         .join(vocabulary, "term", "left_semi")
         .repartition("doc_id")
         .groupBy("doc_id", "term")

@@ -45,7 +45,7 @@ def logged_documents(
         scores = F.transform("_hits", lambda _, i: by_rank(i + 1, F.size("_hits")))
     return (
         hits.withColumn("_scores", scores)
-        .select(*others, "_scores", F.posexplode("_hits").alias("_pos", "_hit"))
+        .select(*others, "_scores", F.posexplode_outer("_hits").alias("_pos", "_hit"))
         .select(
             *others,
             (F.col("_pos") + 1).alias("rank"),

@@ -30,12 +30,14 @@ def stale_documents(
     """
     now = F.lit(as_of).cast("timestamp")
     meta = F.col(metadata) if metadata else None
-    dated = docs.select("doc_id", document_date(F.col("content"), meta).alias("updated_at"))
+    cutoff = now - F.make_dt_interval(F.lit(days))
+    # Filtering inside an array keeps the date search to one evaluation per row; a
+    # filter on the column would be pushed below it and run the search again.
+    old = F.filter(F.array(document_date(F.col("content"), meta)), lambda at: at < cutoff)
+    dated = docs.select("doc_id", F.explode(old).alias("updated_at"))
     age = F.floor((now.cast("double") - F.col("updated_at").cast("double")) / 86400)
     return (
-        dated.where(F.col("updated_at") < now - F.make_dt_interval(F.lit(days)))
-        .withColumn("age_days", age)
-        .withColumn("severity", _severity(F.col("age_days"), days))
+        dated.withColumn("age_days", age).withColumn("severity", _severity(F.col("age_days"), days))
     )
 
 

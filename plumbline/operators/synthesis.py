@@ -112,10 +112,7 @@ def test_cases(
     failed, are in ``errors``. ``types`` keeps standard cases plus those named.
     """
     standard = F.col("test_type") == STANDARD
-    pairs = F.when(standard, parse_qa(F.col("response"), trimmed=True)).otherwise(
-        parse_qa(F.col("response"), trimmed=False)
-    )
-    parsed = responses.withColumn("_pairs", pairs)
+    parsed = responses.withColumn("_pairs", parse_qa(F.col("response"), standard))
     errors = parsed.where(F.size("_pairs") == 0).select(
         "doc_id",
         "chunk_idx",
@@ -131,8 +128,9 @@ def test_cases(
         F.col("chunk_idx").alias("chunk_index"),
         F.col("chunk").alias("context"),
         "test_type",
-        F.posexplode("_pairs").alias("case_no", "_p"),
-    ).select(
+        # Outer, so that no filter on the size parses each response again.
+        F.posexplode_outer("_pairs").alias("case_no", "_p"),
+    ).where(F.col("case_no").isNotNull()).select(
         F.col("_p.question").alias("question"),
         F.col("_p.answer").alias("ground_truth"),
         "context",
