@@ -1,5 +1,5 @@
 """Equivalent DuckDB SQL for the registered queries."""
 
-from oracles import corpus, metrics, ranking
+from oracles import corpus, metrics, ranking, runs
 
-ORACLES = {**metrics.ORACLES, **ranking.ORACLES, **corpus.ORACLES}
+ORACLES = {**metrics.ORACLES, **ranking.ORACLES, **corpus.ORACLES, **runs.ORACLES}

@@ -95,8 +95,9 @@ def component_scores(results: DataFrame, metrics: list[str]) -> DataFrame:
     )
 
 
-def _fmt(c: Column) -> Column:
-    return F.format_string("%.2f", c)
+def _percent(c: Column) -> Column:
+    """Whole percent, rounded down: the same in every engine."""
+    return F.concat(F.floor(c * 100 + 1e-9).cast("string"), F.lit("%"))
 
 
 def failure_rules() -> Column:
@@ -131,11 +132,11 @@ def failure_rules() -> Column:
         ),
         rule(
             has_contexts & (precision < LOW_PRECISION), "low_context_relevance", "retrieval", 0.8,
-            F.concat(F.lit("Few contexts are relevant (precision "), _fmt(precision), F.lit(").")),
+            F.concat(F.lit("Few contexts are relevant (precision "), _percent(precision), F.lit(").")),
         ),
         rule(
             has_contexts & (recall < LOW_RECALL), "missing_context", "retrieval", 0.75,
-            F.concat(F.lit("Relevant contexts are missing (recall "), _fmt(recall), F.lit(").")),
+            F.concat(F.lit("Relevant contexts are missing (recall "), _percent(recall), F.lit(").")),
         ),
         rule(
             has_contexts & ~answered, "off_topic_answer", "generation", 0.7,
@@ -144,13 +145,13 @@ def failure_rules() -> Column:
         rule(
             answered & (faithful < LOW_FAITHFULNESS), "hallucination", "generation", 0.85,
             F.concat(
-                F.lit("The contexts do not back the answer (faithfulness "), _fmt(faithful), F.lit(").")
+                F.lit("The contexts do not back the answer (faithfulness "), _percent(faithful), F.lit(").")
             ),
         ),
         rule(
             answered & (relevancy < LOW_RELEVANCY), "off_topic_answer", "generation", 0.75,
             F.concat(
-                F.lit("The answer misses the question (relevancy "), _fmt(relevancy), F.lit(").")
+                F.lit("The answer misses the question (relevancy "), _percent(relevancy), F.lit(").")
             ),
         ),
         rule(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.functions.vectors import hash_embedding
-from plumbline.operators.cost_metrics import PRICES
+from plumbline.operators.cost_metrics import PRICES, with_cost
 from plumbline.operators.evaluate import evaluate, long_scores
 from plumbline.operators.providers import build_prompt, echo_answer
 
@@ -284,3 +284,26 @@ def verdict_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") + 1).alias("doc_b"),
         reply.alias("response"),
     )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run history: every conversation counts as one run of its items."""
+    scored = evaluate(items(spark, sf_dir), RUN_METRICS, failed=F.col("error_type").isNotNull())
+    costed = with_cost(scored)
+    means = [F.avg(m) for m in RUN_METRICS]
+    conv = F.col("conv_id")
+    return costed.groupBy("conv_id").agg(
+        F.count_if(F.col("error_type").isNotNull()).alias("errors"),
+        F.round(sum(means[1:], means[0]) / len(RUN_METRICS), 9).alias("score"),
+        F.round(F.sum("cost_usd"), 12).alias("cost"),
+    ).select(
+        F.concat(F.lit("run-"), conv.cast("string")).alias("run_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(conv * 37 % 1000).cast("int")))
+        .alias("created_at"),
+        F.concat(_choice(["data/a/", "data/b/", "data/c/"], conv % 3), conv.cast("string"))
+        .alias("dataset_path"),
+        _choice(["json", "markdown"], conv % 2).alias("output"),
+        "errors",
+        "score",
+        "cost",
+    )
