@@ -219,14 +219,19 @@ def diagnose(results: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def failure_rows(diagnosed: DataFrame, *keys: str) -> DataFrame:
-    """Long form of D2: one row per failure with its running number."""
-    return diagnosed.select(*keys, F.posexplode("failures").alias("seq", "f")).select(
+    """Long form of D2: one row per failure with its running number.
+
+    Exploded with the outer form: the plain one adds a filter on the size, which
+    would be pushed below the scores and compute them again.
+    """
+    rows = diagnosed.select(*keys, F.posexplode_outer("failures").alias("seq", "f"))
+    return rows.where(F.col("seq").isNotNull()).select(
         *keys, "seq", "f.mode", "f.blame", "f.confidence", "f.reason"
     )
 
 
 def _reported(diagnosed: DataFrame, threshold: float) -> DataFrame:
-    return diagnosed.select(F.explode("failures").alias("f")).where(
+    return diagnosed.select(F.explode_outer("failures").alias("f")).where(
         F.col("f.confidence") >= threshold
     )
 

@@ -102,12 +102,30 @@ def echo_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def both_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logged run and the echo run of every item: one scan, each item fanned out."""
+    fanned = items(spark, sf_dir).withColumn(
+        "run_id", F.explode(F.array(F.lit("logged"), F.lit("echo")))
+    )
+    echo = F.col("run_id") == "echo"
+    echoed = echo_answer(
+        F.col("ground_truth"), build_prompt(F.col("question"), F.col("contexts"))
+    )
+    no_question = F.when(F.col("question").isNull(), "DatasetValidationError")
+    return fanned.withColumn("answer", F.when(echo, echoed).otherwise(F.col("answer"))).withColumns(
+        {
+            "completion_tokens": F.when(echo, tx.token_count(F.col("answer"))).otherwise(
+                F.col("completion_tokens")
+            ),
+            "error_type": F.when(echo, no_question).otherwise(F.col("error_type")),
+        }
+    )
+
+
 def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both runs scored, wide: the ``results`` table of a run store."""
-    logged = items(spark, sf_dir).withColumn("run_id", F.lit("logged"))
-    echo = echo_items(spark, sf_dir).withColumn("run_id", F.lit("echo"))
-    both = logged.unionByName(echo)
-    return evaluate(both, RUN_METRICS, failed=F.col("error_type").isNotNull())
+    runs_ = both_runs(spark, sf_dir)
+    return evaluate(runs_, RUN_METRICS, failed=F.col("error_type").isNotNull())
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
