@@ -20,14 +20,10 @@ class CorpusError(ValueError):
 def _files(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
     """Whole files under a path as (doc_id, content, size). Files are split over tasks by
     their sizes; each file is one row, as each is one document."""
-    reader = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("wholetext", True)
-        .option("pathGlobFilter", "*")
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     name = F.col("_metadata.file_name")
     wanted = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*kinds)
-    return reader.text(path).where(wanted).select(
+    return files.where(wanted).select(
         F.col("_metadata.file_path").alias("doc_id"),
         F.col("value").alias("content"),
         name.alias("filename"),

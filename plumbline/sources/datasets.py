@@ -65,7 +65,7 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     numbers come from whole files split inside their row, so a file must fit a
     task; use ``read_jsonl_lines`` for files that must be split.
     """
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
     lines = files.select(

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import summary as sm
 
-_ITEM = (
-    "STRUCT<question: STRING, answer: STRING, ground_truth: STRING, contexts: ARRAY<STRING>, "
-    "metrics: MAP<STRING, DOUBLE>, metadata: MAP<STRING, STRING>>"
+_ITEM_FIELDS = (
+    "question STRING, answer STRING, ground_truth STRING, contexts ARRAY<STRING>, "
+    "metrics MAP<STRING, DOUBLE>, metadata MAP<STRING, STRING>"
 )
+_ITEM = f"STRUCT<{_ITEM_FIELDS}>"
 REPORT_SCHEMA = (
     "report_id STRING, created_at STRING, config STRING, "
     "summary STRUCT<total_items: BIGINT, successful_evaluations: BIGINT, "
@@ -122,9 +123,7 @@ def report_runs(reports: DataFrame) -> DataFrame:
 
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
     """Result items for diagnosis, from an object with ``results`` or a bare list."""
-    fields = _ITEM.removeprefix("STRUCT<").removesuffix(">")
-    schema = f"{fields}, results ARRAY<{_ITEM}>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(f"{_ITEM_FIELDS}, results ARRAY<{_ITEM}>").option("multiLine", True).json(path)
     names = ["question", "answer", "ground_truth", "contexts", "metrics", "metadata"]
     bare = F.when(F.col("question").isNotNull(), F.array(F.struct(*names)))
     return rows.select(F.inline(F.coalesce("results", bare)))

@@ -25,7 +25,8 @@ def windowed_latency(
     On a stream, give a ``watermark``: state is one buffer per open window and
     stage, and rows later than the watermark are dropped.
     """
-    timed = latencies.withWatermark("ts", watermark) if watermark else latencies
+    stamped = latencies.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = stamped.withWatermark("ts", watermark) if watermark else stamped
     scored = timed.select("ts", "stage", latency_score(F.col("latency_ms")).alias("score"))
     frame = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (
