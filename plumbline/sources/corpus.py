@@ -10,7 +10,7 @@ WHOLE_FILE_TYPES = ["txt", "md", "rst", "html", "json"]
 LINE_FILE_TYPE = "jsonl"
 # -----------------------------------------------------------------------------
 
-REPLACEMENT = "�"  # what Spark puts in the place of undecodable bytes
+REPLACEMENT = "\ufffd"  # what Spark puts in the place of undecodable bytes
 
 
 class CorpusError(ValueError):
@@ -42,7 +42,8 @@ def read_corpus(
     skipped. ``root`` is cut off the front of the ids. ``max_documents`` keeps the
     first documents by id, when the caller wants a cap; there is none by default.
     """
-    text = F.replace(F.col("content"), F.lit(REPLACEMENT), F.lit(""))
+    readable = F.replace(F.make_valid_utf8("content"), F.lit(REPLACEMENT), F.lit(""))
+    text = F.when(F.is_valid_utf8("content"), F.col("content")).otherwise(readable)
     files = _files(spark, path, WHOLE_FILE_TYPES)
     whole = files.withColumn("content", text).where(F.col("content").rlike(r"(?U)\S")).select(
         "doc_id",
@@ -79,7 +80,7 @@ def read_corpus(
 def read_corpus_strict(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """Whole files for synthesis; a file that is not valid text fails the read."""
     files = _files(spark, path, [*WHOLE_FILE_TYPES, LINE_FILE_TYPE])
-    broken = files.where(F.contains("content", F.lit(REPLACEMENT))).select("doc_id").limit(10)
+    broken = files.where(~F.is_valid_utf8("content")).select("doc_id").limit(10)
     names = [r["doc_id"] for r in broken.collect()]
     if names:
         raise CorpusError(f"not readable as UTF-8: {', '.join(names)}")
