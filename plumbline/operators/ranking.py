@@ -5,29 +5,36 @@ Scores are the Okapi form with k1, b and an epsilon floor for negative idf.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import list_of, minmax
 from plumbline.functions.text import split_words, words
 from plumbline.operators.numbering import number_rows
+from plumbline.session import cut_lineage
 
 # --- fixed values: the usual Okapi constants ---------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # -----------------------------------------------------------------------------
 
+DOC_BLOCK, QUERY_BLOCK = 4096, 256  # rows per block of the score matrix
+
 TOKENIZERS = {"whitespace": split_words, "simple": words}
 
 
 @dataclass(frozen=True)
 class CorpusStats:
-    """The three numbers of a corpus that scoring needs."""
+    """What scoring needs to know of a corpus: three numbers and ``terms(term, df)``."""
 
     n_docs: int
     avg_len: float
     mean_idf: float
+    terms: DataFrame
 
 
 def check_k(k: int) -> None:
@@ -39,30 +46,56 @@ def _raw_idf(df: Column, n_docs: Column | float) -> Column:
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
-def document_frequencies(tokenized: DataFrame) -> DataFrame:
-    """(term, df). Repeats are removed inside each row and counts are combined before
-    the shuffle, so a word of every document costs one row per task."""
-    return (
-        tokenized.select(F.explode(F.array_distinct("tokens")).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+def corpus_stats(docs: DataFrame, tokenizer: str = "whitespace") -> CorpusStats:
+    """One pass over the texts. Compute it once and pass it on to rank many query tables.
+
+    Repeats are removed inside each row and counts are combined before the
+    shuffle, so a word of every document costs one row per task. The length of a
+    document rides on its first term. The term table is checkpointed: it is read
+    for the mean idf and again for the query terms.
+    """
+    tokens = docs.select(TOKENIZERS[tokenizer](F.col("content")).alias("tokens"))
+    rows = tokens.select(
+        F.size("tokens").alias("n"), F.posexplode(F.array_distinct("tokens")).alias("pos", "term")
     )
+    terms = cut_lineage(
+        rows.groupBy("term").agg(
+            F.count(F.lit(1)).alias("df"),
+            F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("lengths"),
+        )
+    )
+    n_docs = docs.count()
+    idf = _raw_idf(F.col("df"), F.lit(float(n_docs)))
+    sums = terms.agg(F.sum("lengths").alias("total"), F.avg(idf).alias("mean_idf")).first()
+    avg_len = (sums["total"] or 0) / n_docs if n_docs else 0.0
+    return CorpusStats(n_docs, avg_len, sums["mean_idf"] or 0.0, terms.select("term", "df"))
 
 
-def corpus_stats(docs: DataFrame, tokenizer: str = "whitespace") -> CorpusStats:
-    """One pass over the documents; only three numbers reach the driver."""
-    tokenized = docs.select(TOKENIZERS[tokenizer](F.col("content")).alias("tokens"))
-    size = tokenized.select(F.size("tokens").alias("n")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avg_len")
-    ).first()
-    if not size["n_docs"]:
-        return CorpusStats(0, 0.0, 0.0)
-    mean = (
-        document_frequencies(tokenized)
-        .agg(F.avg(_raw_idf(F.col("df"), F.lit(float(size["n_docs"])))).alias("m"))
-        .first()["m"]
+def _query_weights(queries: DataFrame, stats: CorpusStats, tokenizer: str) -> DataFrame:
+    """(query_id, term, weight): idf times the number of times the query names the term."""
+    tokenize = TOKENIZERS[tokenizer]
+    query_terms = (
+        queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
+        .groupBy("query_id", "term")
+        .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    return CorpusStats(size["n_docs"], size["avg_len"] or 0.0, mean or 0.0)
+    raw = _raw_idf(F.col("df"), F.lit(float(stats.n_docs)))
+    idf = F.when(raw < 0, F.lit(EPSILON * stats.mean_idf)).otherwise(raw)
+    weights = stats.terms.select("term", idf.alias("idf"))
+    return query_terms.join(weights, "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
+    )
+
+
+def _matched_tokens(docs: DataFrame, weights: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, dl, term) for every token that some query asks for. The join has no hint:
+    Spark broadcasts the query terms when it measures them to be small."""
+    tokenized = docs.select("doc_id", TOKENIZERS[tokenizer](F.col("content")).alias("tokens"))
+    # explode_outer: a plain explode of a computed column makes Spark add a filter on
+    # its size, which tokenises every text a second time.
+    return tokenized.select(
+        "doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")
+    ).join(weights.select("term").distinct(), "term", "left_semi")
 
 
 def bm25_scores(
@@ -71,41 +104,14 @@ def bm25_scores(
     stats: CorpusStats,
     tokenizer: str = "whitespace",
 ) -> DataFrame:
-    """(query_id, doc_id, raw) for every pair with a score other than 0.
+    """(query_id, doc_id, raw) for every pair with a score other than 0, as a table.
 
-    Only tokens that some query asks for leave the map side. They are shuffled
-    once, by document; term counts, scores and the first cut of a top-k then
-    need no further exchange, so the query x document score table is never
-    shuffled. Joins on terms carry no hint: Spark broadcasts the query side
-    when it measures it to be small and splits skewed terms when it is not.
+    For whole score tables; ``bm25_topk`` takes the blocked way, which never
+    lists the pairs. Tokens are shuffled once, by document.
     """
-    tokenize = TOKENIZERS[tokenizer]
-    query_terms = (
-        queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    vocabulary = query_terms.select("term").distinct()
-    tokenized = docs.select("doc_id", tokenize(F.col("content")).alias("tokens"))
-    idf = F.when(
-        _raw_idf(F.col("df"), F.lit(float(stats.n_docs))) < 0, F.lit(EPSILON * stats.mean_idf)
-    ).otherwise(_raw_idf(F.col("df"), F.lit(float(stats.n_docs))))
-    weights = (
-        document_frequencies(
-            tokenized.select(F.array_distinct("tokens").alias("tokens"))
-        )
-        .join(vocabulary, "term", "left_semi")
-        .select("term", idf.alias("idf"))
-    )
-    weighted = query_terms.join(weights, "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    length = F.size("tokens").alias("dl")
+    weights = _query_weights(queries, stats, tokenizer)
     postings = (
-        # explode_outer: a plain explode of a computed column makes Spark add a filter on
-        # its size, which tokenises every text a second time.
-        tokenized.select("doc_id", length, F.explode_outer("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        _matched_tokens(docs, weights, tokenizer)
         .repartition("doc_id")
         .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -114,7 +120,7 @@ def bm25_scores(
     part = F.col("tf") * (K1 + 1.0) / (F.col("tf") + damp)
     return (
         postings.withColumn("part", part)
-        .join(weighted, "term")
+        .join(weights, "term")
         .groupBy("query_id", "doc_id")
         # Rounded, so that copies of a text tie whatever order their terms were added in.
         .agg(F.round(F.sum(F.col("weight") * F.col("part")), 9).alias("raw"))
@@ -122,6 +128,82 @@ def bm25_scores(
     )
 
 
+def _block_scores(tokens: pd.DataFrame, weights: pd.DataFrame, avg_len: float):
+    """Scores of one document block for one query block: (document ids, query ids, matrix)."""
+    query_ids = np.sort(weights["query_id"].unique())
+    terms = pd.Index(weights["term"].unique())
+    table = np.zeros((len(terms), len(query_ids)))
+    table[terms.get_indexer(weights["term"]), np.searchsorted(query_ids, weights["query_id"])] = (
+        weights["weight"]
+    )
+    known = tokens.assign(t=terms.get_indexer(tokens["term"]))
+    counts = known[known["t"] >= 0].groupby(["doc_id", "t"], as_index=False).agg(
+        tf=("dl", "size"), dl=("dl", "first")
+    )
+    doc_ids, starts = np.unique(counts["doc_id"].to_numpy(), return_index=True)
+    tf, dl = counts["tf"].to_numpy(), counts["dl"].to_numpy()
+    part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl / avg_len))
+    term_no = counts["t"].to_numpy()
+    ends = np.append(starts[1:], len(part))
+    scores = np.empty((len(doc_ids), len(query_ids)))
+    for row, (lo, hi) in enumerate(zip(starts, ends)):
+        scores[row] = part[lo:hi] @ table[term_no[lo:hi]]
+    return doc_ids, query_ids, np.round(scores, 9) + 0.0
+
+
+def _top_and_spread(
+    queries: DataFrame, docs: DataFrame, k: int, stats: CorpusStats, tokenizer: str
+) -> DataFrame:
+    """One pass over the corpus: per block of documents and query, the k best documents
+    and one row (doc_id null) with the counts and bounds of the scores.
+
+    Documents and queries are cut into blocks of bounded size and each pair of
+    blocks is one small matrix product, so neither a frequent term nor a large
+    query table ever lists query x document pairs.
+    """
+    spark = docs.sparkSession
+    spread_over = min(spark.sparkContext.defaultParallelism, math.ceil(stats.n_docs / 256))
+    d_blocks = max(math.ceil(stats.n_docs / DOC_BLOCK), spread_over, 1)
+    q_blocks = max(math.ceil(queries.count() / QUERY_BLOCK), 1)
+    # Read twice, as terms to look for and as weights; it has one row per query term.
+    weights = cut_lineage(_query_weights(queries, stats, tokenizer))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _matched_tokens(docs, weights, tokenizer).select(
+        "doc_id", "dl", "term", block("doc_id", d_blocks).alias("db"), every(q_blocks).alias("qb")
+    )
+    right = weights.select(
+        "query_id", "term", "weight", block("query_id", q_blocks).alias("qb"),
+        every(d_blocks).alias("db"),
+    )
+    avg_len = stats.avg_len or 1.0
+    columns = ["query_id", "doc_id", "raw", "n_scored", "n_hits", "lo", "hi"]
+
+    def best(tokens: pd.DataFrame, weighted: pd.DataFrame) -> pd.DataFrame:
+        if tokens.empty or weighted.empty:
+            return pd.DataFrame(columns=columns)
+        doc_ids, query_ids, scores = _block_scores(tokens, weighted, avg_len)
+        out = []
+        for col, query in enumerate(query_ids):
+            raw = scores[:, col]
+            hit = np.flatnonzero(raw)
+            if not len(hit):
+                continue
+            top = hit[np.argsort(-raw[hit], kind="stable")[:k]]
+            out += [(query, doc_ids[r], raw[r], None, None, None, None) for r in top]
+            found = raw[hit]
+            out.append((query, None, None, len(hit), int((found > 0).sum()), found.min(), found.max()))
+        return pd.DataFrame(out, columns=columns)
+
+    types = {**dict(docs.dtypes), **dict(queries.dtypes)}
+    schema = (
+        f"query_id {types['query_id']}, doc_id {types['doc_id']}, raw double, "
+        "n_scored double, n_hits double, lo double, hi double"
+    )
+    blocks = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db"))
+    return blocks.applyInPandas(best, schema)
+
+
 def _best(rows: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -168,21 +250,24 @@ def bm25_topk(
     """
     check_k(k)
     stats = stats or corpus_stats(docs, tokenizer)
-    scores = bm25_scores(queries, docs, stats, tokenizer)
-    spread = scores.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_scored"),
-        F.count_if(F.col("raw") > 0).alias("n_hits"),
-        F.min("raw").alias("lo"),
-        F.max("raw").alias("hi"),
+    # Few rows (k per query and block), read three times below.
+    found = cut_lineage(_top_and_spread(queries, docs, k, stats, tokenizer))
+    spread = found.where(F.col("doc_id").isNull()).groupBy("query_id").agg(
+        F.sum("n_scored").cast("bigint").alias("n_scored"),
+        F.sum("n_hits").cast("bigint").alias("n_hits"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
     known = queries.select("query_id").join(spread, "query_id", "left").na.fill(
         0, ["n_scored", "n_hits"]
     )
-    top = _best(scores, k).drop("rank")
+    best = found.where(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "raw")
+    top = _best(best, k).drop("rank")
     needy = known.where(F.col("n_hits") < k).select("query_id", "n_scored")
-    scored_for_needy = top if stats.mean_idf >= 0 else scores
+    # Without negative scores a query short of hits has all of them in ``top``.
+    scored = top if stats.mean_idf >= 0 else bm25_scores(queries, docs, stats, tokenizer)
     filled = top.unionByName(
-        _unscored(needy, docs, scored_for_needy.select("query_id", "doc_id"), k, stats)
+        _unscored(needy, docs, scored.select("query_id", "doc_id"), k, stats)
     )
     some_zero = F.col("n_scored") < F.lit(stats.n_docs)
     lo = F.when(some_zero, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo"))
@@ -210,6 +295,7 @@ def bm25_hits(
     """Only documents that match, scores min-max normalised over the hits returned."""
     check_k(k)
     stats = stats or corpus_stats(docs, tokenizer)
-    scores = bm25_scores(queries, docs, stats, tokenizer)
-    hits = _best(scores.where(F.col("raw") > 0), k)
+    found = _top_and_spread(queries, docs, k, stats, tokenizer)
+    best = found.where(F.col("raw") > 0).select("query_id", "doc_id", "raw")
+    hits = _best(best, k)
     return hits.withColumn("score", minmax(F.col("raw"), list_of("query_id")))
