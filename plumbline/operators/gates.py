@@ -61,9 +61,8 @@ def threshold_results(gates: DataFrame, metrics: DataFrame) -> DataFrame:
     """Every threshold against ``metrics(run_id, metric, value)``, per run.
 
     A metric a run does not have, or a value that is not a number, fails. The
-    metric table holds one row per run and metric; runs are paired with the gate
-    rows by joining on the metric, and a run's missing metrics come from an
-    anti-join against the same small table.
+    metric table has one row per run and metric, a handful per run; the gate list
+    is configuration and enters the plan as one array.
     """
     values = metrics.select("run_id", "metric", F.expr("try_cast(value AS double)").alias("actual"))
     per_run = values.groupBy("run_id").agg(
