@@ -14,7 +14,6 @@ from oracles.base import (
     metric_sql,
     prompt_sql,
     strip,
-    ws,
     wset,
 )
 
