@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import read_table, shared_folder
+from plumbline.llm import language_id, secrets, site_templates, warc
+from plumbline.llm.common import crc_remainder, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import count_tokens
 
 TOKEN_LIMIT = 512
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)))
+    model = language_id.learn(docs.where(crc_remainder("doc_id", 3) != 1).select("lang", "text"))
+    found = language_id.identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -28,7 +37,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes archives of all pages to the shared folder and reads them back."""
+    archives = shared_folder(spark, "archives")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), archives)
+    return warc.page_digests(warc.assemble(warc.read_records(spark, archives)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_site_templates": op7_site_templates,
+    "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
 }
