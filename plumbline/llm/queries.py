@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, secrets, site_templates, warc
+from plumbline.llm import jaccard_join, language_id, secrets, site_templates, warc
 from plumbline.llm.common import crc_remainder, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import count_tokens
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -54,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_site_templates": op7_site_templates,
