@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, language_id, secrets, site_templates, warc
+from plumbline.llm import jaccard_join, language_id, learned_ann, secrets, site_templates, toxicity, warc
 from plumbline.llm.common import crc_remainder, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import count_tokens
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,20 @@ def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learned = labels.where(crc_remainder("doc_id", 5) != 0).join(docs, "doc_id")
+    held_out = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    scored = toxicity.score(docs, toxicity.learn(learned))
+    return scored.select(
+        "doc_id",
+        held_out,
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(read_table(spark, sf_dir, "documents")))
 
@@ -58,10 +76,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_learned_ann": op2_learned_ann,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_site_templates": op7_site_templates,
+    "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
 }
