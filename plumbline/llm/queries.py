@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, language_id, learned_ann, secrets, site_templates, toxicity, warc
+from plumbline.llm import decontamination, jaccard_join, language_id, learned_ann, secrets, site_templates, toxicity, warc
 from plumbline.llm.common import crc_remainder, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import count_tokens
@@ -32,6 +32,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_learned_ann": op2_learned_ann,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_site_templates": op7_site_templates,

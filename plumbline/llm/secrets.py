@@ -108,7 +108,7 @@ def trigram_query(pattern: str) -> Query:
 
 def _text(docs: DataFrame) -> DataFrame:
     """Rows with the key that the index uses. Equal keys can only add candidates."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     return text.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
@@ -157,8 +157,9 @@ def _spans(rule: Rule, number: int, possible: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and ``spans``: array<struct<start, n, kind, end>> by start, then by rule.
+    """doc_id, text, ``row`` (all columns as they came) and ``spans``: array<struct<start, n, kind, end>>.
 
+    Spans are in order of start, then of rule.
     ``n`` is the rule's number. Null texts are empty and have no spans; every input
     row gives one row, repeated rows included. Spans of different rules may overlap.
     """
@@ -180,7 +181,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             possible = F.col("_rules").bitwiseAND(F.lit(1 << n)) != 0
         found = found.withColumn(f"_{n}", _spans(rule, n, possible))
     spans = F.array_sort(F.concat(*(F.col(f"_{n}") for n in range(len(rules)))))
-    return found.select("doc_id", "text", spans.alias("spans"))
+    return found.select("doc_id", "text", "row", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -204,6 +205,23 @@ def masked(text: Column, spans: Column) -> Column:
     )
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret in ``text`` masked, and n_chars, if there, counted anew for changed texts."""
+    found = scan(docs, rules)
+    text = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))
+    changed = found.select("row", F.size("spans").alias("n"), text.alias("new"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("new").alias(name)
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(F.col("n") > 0, F.length("new").cast(kind)).otherwise(F.col("row.n_chars")).alias(name)
+        return F.col("row").getField(name).alias(name)
+
+    return changed.select(*map(column, docs.columns))
+
+
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans as one string."""
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -218,4 +236,4 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["BASE_RULES", "RULES", "Rule", "candidates", "digests", "listed", "masked", "postings", "scan", "trigram_query"]
+__all__ = ["BASE_RULES", "RULES", "Rule", "candidates", "digests", "listed", "masked", "postings", "redact", "scan", "trigram_query"]
