@@ -178,15 +178,22 @@ def _field(name: str, within: str = "head") -> Column:
     return F.when(found != "", found)
 
 
+def _opened(record: Column) -> Column:
+    """A record without its version line, which the reader leaves on the first one of a file."""
+    opening = f"{VERSION}\r\n"
+    bare = F.substring(record.cast("binary"), len(opening) + 1, 1 << 30).cast("string")
+    return F.when(F.startswith(record, F.lit(opening)), bare).otherwise(record)
+
+
 def _parsed(records: DataFrame) -> DataFrame:
-    head = F.substring_index("record", "\r\n\r\n", 1)
-    split = records.withColumn("head", head).withColumn(
-        "block", F.col("record").substr(F.length("head") + 5, F.length("record"))
-    )
-    declared = _field("Content-Length").cast("long")
-    size = F.octet_length("block").cast("long")
+    """Headers and block of (file, record). All lengths are bytes, as the headers have them."""
+    split = records.withColumn("head", F.substring_index("record", "\r\n\r\n", 1))
+    begin = F.octet_length("head") + 4
+    size = F.octet_length("record") - begin
+    declared = _field("Content-Length").cast("int")
     # The last record of a file still has its own closing line ends.
-    last = (size == declared + 4) & F.endswith("block", F.lit("\r\n\r\n"))
+    last = (size == declared + 4) & F.endswith("record", F.lit("\r\n\r\n"))
+    block = F.col("record").cast("binary").substr(begin + 1, F.when(last, size - 4).otherwise(size)).cast("string")
     return split.select(
         "file",
         _field("WARC-Type").alias("type"),
@@ -196,7 +203,7 @@ def _parsed(records: DataFrame) -> DataFrame:
         _field("WARC-Target-URI").alias("target_uri"),
         _field("WARC-Date").alias("date"),
         F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        F.when(last, F.col("block").substr(F.lit(1), F.length("block") - 4)).otherwise(F.col("block")).alias("block"),
+        block.alias("block"),
         F.coalesce(last | (size == declared), F.lit(False)).alias("whole"),
     )
 
@@ -210,12 +217,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", BETWEEN).text(path)
     cut = lines.select(
         F.col("_metadata.file_path").alias("file"),
-        F.regexp_replace("value", rf"^{VERSION}\r\n", "").alias("record"),
+        _opened(F.col("value")).alias("record"),
     )
     records = _parsed(cut)
     broken = [r["file"] for r in records.where(~F.col("whole")).select("file").distinct().collect()]
     if broken:
-        again = _whole_files(spark, broken).withColumn("record", F.regexp_replace("record", rf"^{VERSION}\r\n", ""))
+        again = _whole_files(spark, broken).withColumn("record", _opened(F.col("record")))
         records = records.where(~F.col("file").isin(broken)).unionByName(_parsed(again))
     return records.drop("whole")
 
@@ -227,11 +234,15 @@ def assemble(records: DataFrame) -> DataFrame:
     for one response the one with the smallest identifier is kept; repeated responses
     stay repeated. Requests without a response make no row.
     """
-    http = F.substring_index("block", "\r\n\r\n", 1)
+    begin = F.octet_length("http_head") + 5
+    payload = F.col("block").cast("binary").substr(begin, F.octet_length("block")).cast("string")
+    # Size and digest are taken before the joins, which the payload need not pass if nobody asks for it.
     responses = (
         records.where(F.col("type").isin("response", "revisit"))
-        .withColumn("http_head", http)
-        .withColumn("payload", F.col("block").substr(F.length("http_head") + 5, F.length("block")))
+        .withColumn("http_head", F.substring_index("block", "\r\n\r\n", 1))
+        .withColumn("payload", payload)
+        .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+        .withColumn("read_digest", payload_digest(F.col("payload")))
     )
 
     def beside(kind: str, name: str) -> DataFrame:
@@ -248,7 +259,7 @@ def assemble(records: DataFrame) -> DataFrame:
         "target_uri",
         "date",
         F.col("type").alias("record_type"),
-        F.struct("http_head", "payload", "payload_digest", "refers_to").alias("response"),
+        F.struct("http_head", "payload", "payload_bytes", "read_digest", "payload_digest", "refers_to").alias("response"),
         "request",
         "metadata",
     )
@@ -261,15 +272,15 @@ def page_digests(captures: DataFrame) -> DataFrame:
     no payload, and states both in its headers.
     """
     fields, head = F.col("metadata.block"), F.col("response.http_head")
-    shaped = captures.withColumns({"fields": fields, "http": head, "payload": F.col("response.payload")})
+    shaped = captures.withColumns({"fields": fields, "http": head})
     revisit = F.col("record_type") == "revisit"
     return shaped.select(
         _field("page-id", "fields").cast("long").alias("page_id"),
         F.when(revisit, _field("Content-Length", "http").cast("long"))
-        .otherwise(F.octet_length("payload").cast("long"))
+        .otherwise(F.col("response.payload_bytes"))
         .alias("payload_bytes"),
         F.when(revisit, F.col("response.payload_digest"))
-        .otherwise(payload_digest(F.col("payload")))
+        .otherwise(F.col("response.read_digest"))
         .alias("payload_digest"),
         "record_type",
         _field("refers-to-page-id", "fields").cast("long").alias("refers_to"),
