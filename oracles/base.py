@@ -15,6 +15,12 @@ KEYWORD_STOP = (
 ).split()
 
 
+def exact_avg(x: str) -> str:
+    """Mean to the millionth, halves up, from whole billionths."""
+    units = f"sum(CAST(round({x} * 1e9) AS HUGEINT))"
+    return f"(((2 * {units} + 1000 * count({x})) // (2000 * count({x})))::DOUBLE / 1e6)"
+
+
 def sql_list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -73,16 +79,21 @@ PRICES = """prices(pos, provider, model, input_rate, output_rate) AS (VALUES
   (10, 'groq', 'llama-3-8b', 0.05, 0.08))"""
 
 ITEMS = f"""{PRICES},
-turns AS (
+spans AS (
   SELECT c.conv_id, c.turn, c.text AS answer,
-    arg_max(p.text, p.turn) FILTER (p.role = 'user') AS question,
-    arg_max(p.text, p.turn) FILTER (p.role = 'assistant') AS ground_truth,
-    coalesce(list(p.text ORDER BY p.turn) FILTER (p.text IS NOT NULL), []) AS contexts
-  FROM conversations c LEFT JOIN conversations p
-    ON p.conv_id = c.conv_id AND p.turn BETWEEN c.turn - 4 AND c.turn - 1
+    max(p.turn) FILTER (p.role = 'assistant') AS last_answer, max(p.turn) FILTER (p.role = 'user') AS asked
+  FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn
   WHERE c.role = 'assistant' GROUP BY c.conv_id, c.turn, c.text),
+turns AS (
+  SELECT s.conv_id, s.turn, s.answer, any_value(q.text) AS question,
+    any_value(p.text) FILTER (p.turn = s.last_answer) AS ground_truth,
+    coalesce(list(p.text ORDER BY p.turn) FILTER (p.text IS NOT NULL), []) AS contexts
+  FROM spans s LEFT JOIN conversations p
+    ON p.conv_id = s.conv_id AND p.turn < s.turn AND p.turn >= coalesce(s.last_answer, -1)
+  LEFT JOIN conversations q ON q.conv_id = s.conv_id AND q.turn = s.asked
+  GROUP BY s.conv_id, s.turn, s.answer),
 items AS (
-  SELECT t.conv_id * 100 + t.turn AS item_id, t.conv_id, question, answer, ground_truth, contexts,
+  SELECT t.conv_id || ':' || t.turn AS item_id, t.conv_id, question, answer, ground_truth, contexts,
     p.provider, p.model,
     list_filter([replace(ground_truth, chr(10), '  '), replace(question, chr(10), '  '),
       replace(answer, chr(10), '  ')], lambda x: x IS NOT NULL) AS ground_truth_contexts,
@@ -90,8 +101,8 @@ items AS (
     len({cased_ws('question')}) + len({cased_ws("array_to_string(contexts, ' ')")}) AS prompt_tokens,
     len({cased_ws('answer')}) AS completion_tokens,
     CASE WHEN p.provider IS NOT NULL THEN length(answer) * 1.5::DOUBLE END AS latency_ms,
-    CASE WHEN question IS NULL THEN 'DatasetValidationError'
-         WHEN length(answer) < 350 THEN 'ProviderExecutionError' END AS error_type
+    CASE WHEN question IS NULL THEN 'invalid item'
+         WHEN length(answer) < 350 THEN 'no full answer' END AS error_type
   FROM turns t LEFT JOIN prices p ON p.pos = t.conv_id % 12)"""
 
 
@@ -141,7 +152,7 @@ ECHO_ITEMS = f"""echo_base AS (
   FROM items),
 echo_items AS (
   SELECT * REPLACE (len({cased_ws('answer')}) AS completion_tokens,
-    CASE WHEN question IS NULL THEN 'DatasetValidationError' END AS error_type) FROM echo_base)"""
+    CASE WHEN question IS NULL THEN 'invalid item' END AS error_type) FROM echo_base)"""
 
 TWO_RUNS = f"""{ITEMS},
 {ECHO_ITEMS},

@@ -231,7 +231,7 @@ def _raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = views.table(spark, sf_dir, "conversations")
     code = F.col("conv_id") + F.col("turn")
     return turns.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("item_id"),
+        views.row_key("conv_id", "turn").alias("item_id"),
         F.when(code % 7 == 0, F.lit("  \n"))
         .when(code % 11 == 0, F.lit(None))
         .otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))

@@ -7,7 +7,7 @@ view covers its whole source table, and its size grows with that table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
@@ -16,7 +16,6 @@ from plumbline.operators.cost_metrics import PRICES, with_cost
 from plumbline.operators.evaluate import evaluate, long_scores
 from plumbline.operators.providers import build_prompt, echo_answer
 
-LOOKBACK = 4  # turns before an answer that serve as its contexts
 SHORT_ANSWER = 350  # characters; a shorter answer counts as a failed generation
 RUN_METRICS = [
     "context_precision", "context_recall", "mrr", "ndcg", "faithfulness", "answer_relevancy",
@@ -34,36 +33,64 @@ def _choice(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per assistant turn, with the preceding turns as contexts.
+def row_key(*names: str) -> Column:
+    """A key that stays unique for any size of its parts."""
+    return F.concat_ws(":", *(F.col(n).cast("string") for n in names))
+
+
+def _uses(turns: DataFrame) -> DataFrame:
+    """(conv_id, from_turn, turn, use): what each turn is to which answer, found without any text.
 
-    Each turn is copied to the few turns it can serve, then grouped by
-    (conversation, turn). The key is unique per item, so a conversation that
-    holds a third of all rows still spreads over all tasks.
+    A turn is a context of the next answer after it. An answer is its own, and the
+    nearest user turn before it is its question, at any distance.
     """
-    turns = table(spark, sf_dir, "conversations")
-    fanned = turns.select(
+    slim = turns.select("conv_id", "turn", "role")
+    talk = Window.partitionBy("conv_id")
+    before = talk.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    after = talk.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    answers = F.when(F.col("role") == "assistant", F.col("turn"))
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    placed = slim.select(
         "conv_id",
-        F.col("turn").alias("from_turn"),
-        F.explode(F.sequence(F.col("turn"), F.col("turn") + LOOKBACK)).alias("turn"),
-        "role",
-        "text",
+        "turn",
+        answers.alias("own"),
+        F.last(answers, ignorenulls=True).over(after).alias("next_answer"),
+        F.last(asked, ignorenulls=True).over(before).alias("asked"),
+    )
+    turn = F.col("turn")
+    use = lambda who, what, kind: F.struct(who.alias("from_turn"), what.alias("turn"), F.lit(kind).alias("use"))
+    uses = F.array(
+        F.when(F.col("own").isNotNull(), use(turn, turn, "answer")),
+        F.when(F.col("next_answer").isNotNull(), use(turn, F.col("next_answer"), "context")),
+        F.when(F.col("own").isNotNull() & F.col("asked").isNotNull(), use(F.col("asked"), turn, "question")),
     )
-    own = F.col("from_turn") == F.col("turn")
-    earlier = ~own
-    when_user = F.when(earlier & (F.col("role") == "user"), F.col("from_turn"))
-    when_assistant = F.when(earlier & (F.col("role") == "assistant"), F.col("from_turn"))
-    grouped = fanned.groupBy("conv_id", "turn").agg(
-        F.max(F.when(own & (F.col("role") == "assistant"), F.col("text"))).alias("answer"),
-        F.max_by("text", when_user).alias("question"),
+    return placed.select("conv_id", F.inline(F.array_compact(uses)))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per assistant turn. Its contexts are the assistant turn before it and all turns since.
+
+    The question is the nearest user turn before, the reference the nearest
+    assistant turn before. Each turn is a context of one item, so nothing is cut and
+    the view stays as large as the table. Texts are grouped by (conversation, turn),
+    so a conversation that holds a third of all rows spreads over all tasks.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    texts = turns.select("conv_id", F.col("turn").alias("from_turn"), "role", "text")
+    used = _uses(turns).join(texts, ["conv_id", "from_turn"])
+    told = lambda kind: F.col("use") == kind
+    when_assistant = F.when(told("context") & (F.col("role") == "assistant"), F.col("from_turn"))
+    grouped = used.groupBy("conv_id", "turn").agg(
+        F.max(F.when(told("answer"), F.col("text"))).alias("answer"),
+        F.max(F.when(told("question"), F.col("text"))).alias("question"),
         F.max_by("text", when_assistant).alias("ground_truth"),
         F.array_sort(
-            F.collect_list(F.when(earlier, F.struct("from_turn", "text")))
+            F.collect_list(F.when(told("context"), F.struct("from_turn", "text")))
         ).alias("history"),
     )
     slot = F.col("conv_id") % 12
     base = grouped.where(F.col("answer").isNotNull()).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("item_id"),
+        row_key("conv_id", "turn").alias("item_id"),
         "conv_id",
         "question",
         "answer",
@@ -83,8 +110,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             + tx.token_count(F.array_join("contexts", " ")),
             "completion_tokens": tx.token_count(F.col("answer")),
             "latency_ms": F.when(F.col("provider").isNotNull(), F.length("answer") * 1.5),
-            "error_type": F.when(F.col("question").isNull(), "DatasetValidationError").when(
-                F.length("answer") < SHORT_ANSWER, "ProviderExecutionError"
+            "error_type": F.when(F.col("question").isNull(), "invalid item").when(
+                F.length("answer") < SHORT_ANSWER, "no full answer"
             ),
         }
     )
@@ -97,7 +124,7 @@ def echo_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("answer", echo_answer(F.col("ground_truth"), prompt)).withColumns(
         {
             "completion_tokens": tx.token_count(F.col("answer")),
-            "error_type": F.when(F.col("question").isNull(), "DatasetValidationError"),
+            "error_type": F.when(F.col("question").isNull(), "invalid item"),
         }
     )
 
@@ -111,7 +138,7 @@ def both_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     echoed = echo_answer(
         F.col("ground_truth"), build_prompt(F.col("question"), F.col("contexts"))
     )
-    no_question = F.when(F.col("question").isNull(), "DatasetValidationError")
+    no_question = F.when(F.col("question").isNull(), "invalid item")
     return fanned.withColumn("answer", F.when(echo, echoed).otherwise(F.col("answer"))).withColumns(
         {
             "completion_tokens": F.when(echo, tx.token_count(F.col("answer"))).otherwise(
@@ -276,7 +303,7 @@ def chunk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda cs: F.transform(cs, lambda c, i: F.array_compact(F.array(c, F.get(cs, i + 1)))),
     )
     return pieces.select("doc_id", F.posexplode(paired).alias("i", "contexts")).select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("item_id"),
+        row_key("doc_id", "i").alias("item_id"),
         "contexts",
         F.lit(500).alias("chunk_size"),
         F.lit(50).alias("chunk_overlap"),
