@@ -24,7 +24,7 @@ PIECES = """piece_windows AS (SELECT doc_id, s, regexp_replace(substr(text, s +
   FROM (SELECT doc_id, text, unnest(range(0, length(text), 800)) AS s FROM documents)),
 pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, c,
     lead(c) OVER (PARTITION BY doc_id ORDER BY s) AS nxt FROM piece_windows WHERE c <> ''),
-chunk_items AS (SELECT doc_id * 100000 + i AS item_id, c, nxt,
+chunk_items AS (SELECT doc_id || ':' || i AS item_id, c, nxt,
     list_filter([c, nxt], lambda x: x IS NOT NULL) AS contexts FROM pieces)"""
 
 RESPONSE_PARTS = """parts AS (SELECT doc_id, doc_id % 8 AS style, 'What does document ' || doc_id || ' say?' AS q,
@@ -152,8 +152,8 @@ ORACLES = {
     "audit_duplicates_vec": VEC_DUPS,
     "contradiction_candidates": f"WITH {CANDIDATES} SELECT * FROM candidates",
     "contradiction_prompts": f"""WITH {CANDIDATES} SELECT doc_a, doc_b, 'Do these two documents contradict each other?'
-      || chr(10) || chr(10) || 'Document ' || doc_a || ':' || chr(10) || left(a.text, 2000) || chr(10) || chr(10)
-      || 'Document ' || doc_b || ':' || chr(10) || left(b.text, 2000) || chr(10) || chr(10)
+      || chr(10) || chr(10) || 'Document ' || doc_a || ':' || chr(10) || a.text || chr(10) || chr(10)
+      || 'Document ' || doc_b || ':' || chr(10) || b.text || chr(10) || chr(10)
       || 'Reply with JSON only: {{"contradicts": true or false, "confidence": 0.0 to 1.0, "topic": "...", "explanation": "..."}}' AS prompt
       FROM candidates JOIN documents a ON a.doc_id = doc_a JOIN documents b ON b.doc_id = doc_b""",
     "contradiction_verdicts": f"WITH {VERDICTS} SELECT doc_a, doc_b, round(confidence, 6) AS confidence, topic, severity FROM verdicts",

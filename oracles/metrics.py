@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles.base import (
+    exact_avg,
     ITEMS,
     ONE_RUN,
     RUN_LONG,
@@ -177,14 +178,14 @@ ORACLES = {
       SELECT run_id, count(*) AS total, count(error_type) AS errors,
         sum(prompt_tokens + completion_tokens)::BIGINT AS total_tokens,
         round(avg(latency_ms), 6) AS average_latency_ms FROM both_runs GROUP BY run_id""",
-    "metric_means": f"WITH {RUN_LONG} SELECT run_id, metric, round(avg(score), 6) AS mean_score, count(*) AS n FROM long GROUP BY ALL",
+    "metric_means": f"WITH {RUN_LONG} SELECT run_id, metric, {exact_avg('score')} AS mean_score, count(*) AS n FROM long GROUP BY ALL",
     "flat_metrics": f"""WITH {RUN_LONG}
-      SELECT run_id, metric, round(avg(score), 6) AS value FROM long GROUP BY ALL
+      SELECT run_id, metric, {exact_avg('score')} AS value FROM long GROUP BY ALL
       UNION ALL SELECT run_id, 'total_items', count(*)::DOUBLE FROM wide GROUP BY run_id
       UNION ALL SELECT run_id, 'successful_evaluations', (count(*) - count(error_type))::DOUBLE FROM wide GROUP BY run_id
       UNION ALL SELECT run_id, 'failed_evaluations', count(error_type)::DOUBLE FROM wide GROUP BY run_id""",
     "metric_bands": f"""WITH {RUN_LONG},
-      means AS (SELECT run_id, metric, avg(score) AS s FROM long GROUP BY ALL),
+      means AS (SELECT run_id, metric, {exact_avg('score')} AS s FROM long GROUP BY ALL),
       every AS (SELECT * FROM means UNION ALL SELECT run_id, 'overall', avg(s) FROM means GROUP BY run_id)
       SELECT run_id, metric, round(s, 6) AS score,
         CASE WHEN s >= 0.8 THEN 'good' WHEN s >= 0.5 THEN 'fair' ELSE 'poor' END AS band FROM every""",

@@ -100,6 +100,8 @@ ORACLES = {
           WHEN 'minmax' THEN CASE WHEN hi = lo THEN 1.0 ELSE (raw - lo) / (hi - lo) END
           ELSE 1.0 - (rank - 1)::DOUBLE / n END, 6) AS score
       FROM s CROSS JOIN modes WHERE length(c) >= 200""",
+    "response_log_rejected": """SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'no payload' ELSE 'no list of results' END AS error
+      FROM documents WHERE doc_id % 4 <> 0""",
     "hash_embed": f"""WITH raw AS (SELECT doc_id, {HASH.format(dims=32)} AS r FROM documents),
       u AS (SELECT doc_id, {UNIT} AS v FROM raw)
       SELECT doc_id, unnest(range(0, 32)) AS i, round(unnest(v), 6) AS x FROM u""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracles.base import (
+    exact_avg,
     ITEMS,
     RUN_LONG,
     RUN_METRICS,
@@ -51,7 +52,7 @@ GATES = """gates(gate, behavior, no, metric, op, value, required) AS (VALUES
   ('unknown', 'skip', 0, 'no_such_metric', 'gt', 0, true), ('unknown', 'skip', 1, 'exact_match', 'eq', 0, false))"""
 
 THRESHOLDS = f"""{RUN_LONG},
-flat AS (SELECT run_id, metric, avg(score) AS v FROM long GROUP BY ALL
+flat AS (SELECT run_id, metric, {exact_avg('score')} AS v FROM long GROUP BY ALL
   UNION ALL SELECT run_id, 'total_items', count(*)::DOUBLE FROM wide GROUP BY run_id),
 {GATES},
 run_ids AS (SELECT DISTINCT run_id FROM wide),
@@ -63,7 +64,7 @@ gate_rows AS (SELECT run_id, gate, behavior, bool_and(passed) AS passed, count(*
   FROM checked GROUP BY ALL)"""
 
 MEANS = f"""{RUN_LONG},
-means AS (SELECT run_id, metric, avg(score) AS m FROM long
+means AS (SELECT run_id, metric, {exact_avg('score')} AS m FROM long
   WHERE NOT (run_id = 'echo' AND metric = 'latency') AND NOT (run_id = 'logged' AND metric = 'exact_match') GROUP BY ALL)"""
 
 SCORE = " + ".join(f"avg(CASE WHEN error_type IS NULL THEN {metric_sql(m)} ELSE 0.0 END)" for m in RUN_METRICS)
@@ -176,14 +177,14 @@ ORACLES = {
         CASE WHEN conv_id % 2 = 0 THEN ground_truth ELSE answer END AS ground_truth, context FROM items""",
     "page_items": f"""SELECT 'What does this page say?' AS question, {strip('text')} AS context, doc_id AS page, source
       FROM documents WHERE {strip('text')} <> ''""",
-    "validate_items": f"""SELECT conv_id * 100 + turn AS item_id, {strip('text')} AS question,
+    "validate_items": f"""SELECT conv_id || ':' || turn AS item_id, {strip('text')} AS question,
         CASE WHEN (conv_id + turn) % 5 <> 0 AND {strip('text')} <> '' THEN text END AS ground_truth,
         CASE WHEN (conv_id + turn) % 3 <> 0 THEN role END AS context FROM conversations
       WHERE (conv_id + turn) % 7 <> 0 AND (conv_id + turn) % 11 <> 0 AND {strip('text')} <> ''""",
-    "rejected_items": """SELECT conv_id * 100 + turn AS item_id, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'question is blank'
+    "rejected_items": """SELECT conv_id || ':' || turn AS item_id, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'question is blank'
         ELSE 'question is missing' END AS errors FROM conversations WHERE (conv_id + turn) % 7 = 0 OR (conv_id + turn) % 11 = 0""",
     "sample_items": f"WITH {ITEMS} SELECT item_id, question FROM items ORDER BY md5('42:' || item_id), item_id LIMIT 50",
-    "latency_windowed": """WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS s, event_type AS stage, count(*) AS n,
-        avg(CASE WHEN value < 0 THEN 0.0 ELSE greatest(0.0, 1.0 - value / 2000.0) END) AS m FROM events GROUP BY ALL)
+    "latency_windowed": f"""WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS s, event_type AS stage, count(*) AS n,
+        {exact_avg('(CASE WHEN value < 0 THEN 0.0 ELSE greatest(0.0, 1.0 - value / 2000.0) END)')} AS m FROM events GROUP BY ALL)
       SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, stage, n, round(m, 6) AS mean_score, m >= 0.97 AS passed FROM w""",
 }

@@ -21,10 +21,13 @@ DATE_PATTERNS = [
 ]
 NUMERIC_FORMATS = ["yyyy-M-d'T'H:m:s[.SSSSSS][XXX]", "yyyy-M-d", "M/d/yyyy"]
 MONTH_NAME_FORMATS = ["MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"]
-HEADER_CHARS = 500
 # -----------------------------------------------------------------------------
 
 
+#: Seconds of the years 1 to 9999.
+EPOCH_RANGE = (-62_135_596_800, 253_402_300_799)
+
+
 def parse_date(c: Column) -> Column:
     """A timestamp from a date string in one of the known formats, else null."""
 
@@ -38,27 +41,29 @@ def parse_date(c: Column) -> Column:
     return let(strip(c), attempt)
 
 
-def date_from_metadata(metadata: Column) -> Column:
-    """First usable date among the known keys of a MAP<STRING,STRING>.
+def date_from_metadata(metadata: Column | None, numbers: Column | None = None) -> Column:
+    """First usable date among the known keys, of texts in ``metadata`` (MAP<STRING,STRING>)
+    and of numbers in ``numbers`` (MAP<STRING,DOUBLE>).
 
-    Plain numbers are taken as seconds since the epoch.
+    A number is seconds since the epoch and is passed over outside the years 1 to
+    9999. A text of digits is no date.
     """
     candidates = []
     for key in DATE_KEYS:
-        value = F.element_at(metadata, F.lit(key))
-        epoch = F.when(
-            value.rlike(r"^\d+(\.\d+)?$"),
-            F.timestamp_micros((value.cast("double") * 1_000_000).cast("bigint")),
-        )
-        candidates += [parse_date(value), epoch]
+        if metadata is not None:
+            candidates.append(parse_date(F.element_at(metadata, F.lit(key))))
+        if numbers is not None:
+            seconds = F.element_at(numbers, F.lit(key))
+            micros = (F.when(seconds.between(*EPOCH_RANGE), seconds) * 1_000_000).cast("bigint")
+            candidates.append(F.timestamp_micros(micros))
     return F.coalesce(*candidates)
 
 
-def date_from_text(content: Column) -> Column:
-    """First parseable date in the header of a text, patterns tried in order.
+def date_from_text(content: Column, header_chars: int | None = None) -> Column:
+    """First parseable date of a text, patterns tried in order.
 
-    Dates are read where document headers stand, in the first 500 characters;
-    that is the definition of the check, not a shortcut.
+    ``header_chars`` restricts the search to the opening of the text, where document
+    headers stand; the default is the whole text.
     """
 
     def search(head: Column) -> Column:
@@ -69,10 +74,18 @@ def date_from_text(content: Column) -> Column:
             found.append(F.get(parsed, F.lit(0)))
         return F.coalesce(*found)
 
-    return let(F.substring(text_or_empty(content), 1, HEADER_CHARS), search)
+    whole = text_or_empty(content)
+    return let(whole if header_chars is None else F.substring(whole, 1, header_chars), search)
 
 
-def document_date(content: Column, metadata: Column | None = None) -> Column:
+def document_date(
+    content: Column,
+    metadata: Column | None = None,
+    numbers: Column | None = None,
+    header_chars: int | None = None,
+) -> Column:
     """The date of a document: metadata first, then its text."""
-    by_text = date_from_text(content)
-    return by_text if metadata is None else F.coalesce(date_from_metadata(metadata), by_text)
+    by_text = date_from_text(content, header_chars)
+    if metadata is None and numbers is None:
+        return by_text
+    return F.coalesce(date_from_metadata(metadata, numbers), by_text)

@@ -14,10 +14,22 @@ def list_of(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
+def exact_mean(score: Column) -> Column:
+    """Mean to the millionth, halves up, as an aggregate: the same for any order of the rows.
+
+    Scores are added as whole billionths and divided once; nulls do not count.
+    """
+    total = F.sum(F.round(score * 1e9).cast("decimal(19,0)")).cast("decimal(34,0)")
+    n = F.count(score).cast("decimal(20,0)")
+    twice, step = total * 2 + n * 1000, n * 2000
+    millionths = (twice - F.pmod(twice, step)) / step
+    return F.when(n > 0, millionths.cast("double") / 1e6)
+
+
 def minmax(score: Column, result_list: WindowSpec) -> Column:
-    """Scale to [0, 1] over the list; a constant list gets 1 everywhere."""
+    """Scale to [0, 1] over the list; a constant list gets 1 everywhere, a null score stays null."""
     lo, hi = F.min(score).over(result_list), F.max(score).over(result_list)
-    return F.when(hi == lo, F.lit(1.0)).otherwise(clamp01((score - lo) / (hi - lo)))
+    return F.when(score.isNull(), None).when(hi == lo, F.lit(1.0)).otherwise(clamp01((score - lo) / (hi - lo)))
 
 
 def minmax_array(scores: Column) -> Column:
@@ -26,7 +38,9 @@ def minmax_array(scores: Column) -> Column:
     def scale(lo: Column, hi: Column) -> Column:
         return F.transform(
             scores,
-            lambda s: F.when(hi == lo, F.lit(1.0)).otherwise(clamp01((s - lo) / (hi - lo))),
+            lambda s: F.when(s.isNull(), None)
+            .when(hi == lo, F.lit(1.0))
+            .otherwise(clamp01((s - lo) / (hi - lo))),
         )
 
     return let(F.array_min(scores), lambda lo: let(F.array_max(scores), lambda hi: scale(lo, hi)))

@@ -107,21 +107,30 @@ def evidence_rows(supported: DataFrame) -> DataFrame:
 
 
 def support_from_scores(
-    claim_rows: DataFrame, scores: DataFrame, threshold: float = 0.5
+    claim_rows: DataFrame, scores: DataFrame, threshold: float = 0.5, items: DataFrame | None = None
 ) -> DataFrame:
     """M21 on long tables, for scores computed by a model elsewhere.
 
     ``claim_rows(item_id, claim_idx)`` and ``scores(item_id, claim_idx, ctx_idx,
-    entailed_score)``. Returns item_id, n_claims, n_supported, faithfulness_nli
-    for every item that has claims; an unscored claim is unsupported.
+    entailed_score)``. Returns item_id, n_claims, n_supported, faithfulness_nli for
+    every item of ``items(item_id)``, or of those that have claims where it is left
+    out. An unscored claim is unsupported; an item without claims scores 1.
     """
     keys = ["item_id", "claim_idx"]
     best = scores.groupBy(*keys).agg(F.max("entailed_score").alias("best"))
     supported = F.count_if(F.coalesce(F.col("best") >= threshold, F.lit(False)))
-    return (
+    counted = (
         claim_rows.select(*keys)
         .join(best, keys, "left")
         .groupBy("item_id")
         .agg(F.count(F.lit(1)).alias("n_claims"), supported.alias("n_supported"))
-        .withColumn("faithfulness_nli", F.col("n_supported") / F.col("n_claims"))
     )
+    if items is not None:
+        none = F.lit(0).cast("bigint")
+        counted = items.select("item_id").join(counted, "item_id", "left").select(
+            "item_id",
+            F.coalesce("n_claims", none).alias("n_claims"),
+            F.coalesce("n_supported", none).alias("n_supported"),
+        )
+    share = F.when(F.col("n_claims") == 0, F.lit(1.0)).otherwise(F.col("n_supported") / F.col("n_claims"))
+    return counted.withColumn("faithfulness_nli", share)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import by_rank, minmax_array
@@ -11,6 +11,17 @@ from plumbline.functions.vectors import clamp01
 from plumbline.operators.ranking import check_k
 
 
+def _listed(payload: str, results_path: str | None) -> Column:
+    found = F.coalesce(json_path(F.col(payload), results_path), F.col(payload))
+    return F.when(F.ltrim(found).startswith("["), F.from_json(found, "array<string>"))
+
+
+def rejected_payloads(df: DataFrame, payload: str, results_path: str | None = None) -> DataFrame:
+    """The rows of ``df`` whose payload holds no list, with the reason as ``error``."""
+    reason = F.when(F.col(payload).isNull(), "no payload").otherwise("no list of results")
+    return df.where(_listed(payload, results_path).isNull()).withColumn("error", reason)
+
+
 def logged_documents(
     df: DataFrame,
     payload: str,
@@ -28,14 +39,15 @@ def logged_documents(
 
     The list is found at ``results_path`` (or is the payload itself) and cut to
     its first k entries. Scores come from ``score_path``, clamped or min-max
-    normalised, or from the rank when there is no score path. Entries without
-    content are dropped after the scores are set. All of it stays in the row.
+    normalised, or from the rank when there is no score path; an entry without a
+    score keeps a null one. Entries without content are dropped after the scores are
+    set. All of it stays in the row. Payloads without a list give no row here and
+    one in ``rejected_payloads``.
     """
     check_k(k)
     if score_mode not in ("passthrough", "minmax"):
         raise ValueError("score_mode is 'passthrough' or 'minmax'")
-    found = F.coalesce(json_path(F.col(payload), results_path), F.col(payload))
-    listed = F.slice(F.from_json(found, "array<string>"), 1, k)
+    listed = F.slice(_listed(payload, results_path), 1, k)
     others = [c for c in df.columns if c != payload]
     hits = df.select(*others, listed.alias("_hits"))
     if score_path:

@@ -22,18 +22,24 @@ def _severity(age: Column, days: int) -> Column:
 
 
 def stale_documents(
-    docs: DataFrame, as_of: str, days: int = STALENESS_DAYS, metadata: str | None = None
+    docs: DataFrame,
+    as_of: str,
+    days: int = STALENESS_DAYS,
+    metadata: str | None = None,
+    numbers: str | None = None,
+    header_chars: int | None = None,
 ) -> DataFrame:
     """(doc_id, updated_at, age_days, severity) for documents dated before ``as_of`` minus
     ``days``. Documents without a date are no issue. ``as_of`` is always given, so a
-    run can be repeated.
+    run can be repeated. ``metadata`` and ``numbers`` name map columns of texts and of
+    numbers; ``header_chars`` restricts dates in texts to their opening.
     """
     now = F.lit(as_of).cast("timestamp")
-    meta = F.col(metadata) if metadata else None
+    maps = [F.col(c) if c else None for c in (metadata, numbers)]
     cutoff = now - F.make_dt_interval(F.lit(days))
     # Filtering inside an array keeps the date search to one evaluation per row; a
     # filter on the column would be pushed below it and run the search again.
-    old = F.filter(F.array(document_date(F.col("content"), meta)), lambda at: at < cutoff)
+    old = F.filter(F.array(document_date(F.col("content"), *maps, header_chars)), lambda at: at < cutoff)
     dated = docs.select("doc_id", F.explode(old).alias("updated_at"))
     age = F.floor((now.cast("double") - F.col("updated_at").cast("double")) / 86400)
     return (

@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import exact_mean
 from plumbline.operators.evaluate import LOWER_IS_BETTER
 
 # --- fixed values: score bands -----------------------------------------------
@@ -41,10 +42,10 @@ def run_totals(results: DataFrame) -> DataFrame:
 
 
 def metric_means(long: DataFrame) -> DataFrame:
-    """A5: mean per run and metric from the long table. Failed items are zeros in it;
+    """A5: mean per run and metric from the long table, exact to the millionth. Failed items are zeros in it;
     filter them out first to leave them aside."""
     return long.groupBy("run_id", "metric").agg(
-        F.avg("score").alias("mean_score"), F.count("score").alias("n")
+        exact_mean(F.col("score")).alias("mean_score"), F.count("score").alias("n")
     )
 
 
@@ -53,7 +54,7 @@ def wide_means(results: DataFrame, metrics: Iterable[str], exclude_failed: bool
     row per run. This is the form to use on large runs."""
     metrics = list(metrics)
     rows = results.where(F.col("error_type").isNull()) if exclude_failed else results
-    means = rows.groupBy("run_id").agg(*[F.avg(m).alias(m) for m in metrics])
+    means = rows.groupBy("run_id").agg(*[exact_mean(F.col(m)).alias(m) for m in metrics])
     return means.unpivot("run_id", metrics, "metric", "mean_score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scores
 from plumbline.functions.vectors import hash_embedding
 from plumbline.operators import ranking, vector_ranking
-from plumbline.operators.response_logs import logged_documents
+from plumbline.operators.response_logs import logged_documents, rejected_payloads
 from plumbline.operators.retrieval_metrics import long_form_metrics
 from plumbline.plans import views
 from plumbline.plans.metric_queries import rounded
@@ -136,6 +136,16 @@ def response_log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mode", "item_id", _rank(), "doc_id", "content", rounded("score"))
 
 
+def response_log_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of which one in four holds a list."""
+    docs = views.rank_docs(spark, sf_dir)
+    body = F.to_json(F.struct(F.array("content").alias("hits")))
+    broken = [F.lit('{"hits": {"n": 1}}'), F.lit("no json"), F.lit(None).cast("string")]
+    payload = F.get(F.array(body, *broken), (F.col("doc_id") % 4).cast("int"))
+    logs = docs.select("doc_id", payload.alias("payload"))
+    return rejected_payloads(logs, "payload", "hits").select("doc_id", "error")
+
+
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.rank_docs(spark, sf_dir)
     return docs.select(
@@ -156,5 +166,6 @@ QUERIES = {
     "norm_rank": norm_rank,
     "norm_distance": norm_distance,
     "response_log_docs": response_log_docs,
+    "response_log_rejected": response_log_rejected,
     "hash_embed": hash_embed,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline.functions.scores import exact_mean
 from plumbline.operators.cost_metrics import latency_score
 from plumbline.operators.evaluate import DEFAULT_METRICS, evaluate
 
@@ -20,7 +21,7 @@ def windowed_latency(
     min_score: float = 0.5,
 ) -> DataFrame:
     """Mean latency score per window and stage of ``latencies(ts, stage, latency_ms)``,
-    with ``passed`` when it is at least ``min_score``.
+    with ``passed`` when it is at least ``min_score``. Means are exact to the millionth.
 
     On a stream, give a ``watermark``: state is one buffer per open window and
     stage, and rows later than the watermark are dropped.
@@ -31,7 +32,7 @@ def windowed_latency(
     frame = F.window("ts", window, slide) if slide else F.window("ts", window)
     return (
         scored.groupBy(frame.alias("w"), "stage")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
+        .agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("score")).alias("mean_score"))
         .select(
             F.col("w.start").alias("window_start"),
             F.col("w.end").alias("window_end"),

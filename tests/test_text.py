@@ -140,7 +140,7 @@ def test_json_helpers(spark):
         ("March 5, 2018", "2018-03-05 00:00:00"),
         ("Sep 7 2017", "2017-09-07 00:00:00"),
         ("2020-13-45 then 2/3/2016", "2016-02-03 00:00:00"),
-        ("x" * 500 + "2020-01-15", None),
+        ("x" * 500 + "2020-01-15", "2020-01-15 00:00:00"),
         ("none", None),
     ],
 )
@@ -154,7 +154,8 @@ def test_dates_in_text(spark, text, day):
     [
         ({"date": "2020-01-15", "updated_at": "2021-01-01T00:00:00Z"}, "2021-01-01 00:00:00"),
         ({"updated_at": "soon", "created_at": "1/2/2020"}, "2020-01-02 00:00:00"),
-        ({"timestamp": "1579046400"}, "2020-01-15 00:00:00"),
+        ({"timestamp": "1579046400", "created_at": "1/2/2020"}, "2020-01-02 00:00:00"),
+        ({"date": "20200115"}, "2022-02-02 00:00:00"),
         ({"updated_at": "2020-01-15T10:00:00.123456+02:00"}, "2020-01-15 08:00:00"),
         ({"updated_at": "2020-01-15T10:00:00+0200"}, "2020-01-15 08:00:00"),
         ({}, "2022-02-02 00:00:00"),
@@ -166,6 +167,25 @@ def test_dates_in_metadata(spark, metadata, day):
     assert df.select(F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("x")).first()["x"] == day
 
 
+@pytest.mark.parametrize(
+    "numbers, day",
+    [
+        ({"timestamp": 1579046400.0}, "2020-01-15 00:00:00"),
+        ({"timestamp": 1500000000000.0, "created_at": 1579046400.0}, "2020-01-15 00:00:00"),
+        ({"timestamp": float("nan")}, "2022-02-02 00:00:00"),
+    ],
+)
+def test_numeric_dates_in_metadata(spark, numbers, day):
+    df = spark.createDataFrame([("2022-02-02", numbers)], "c string, n map<string,double>")
+    at = document_date(F.col("c"), None, F.col("n"))
+    assert df.select(F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("x")).first()["x"] == day
+
+
+def test_date_only_in_the_header(spark):
+    text = "x" * 500 + "2020-01-15"
+    assert one(spark, text, lambda c: document_date(c, header_chars=500)) is None
+
+
 PAIR = '{"question": "Q?", "answer": "A"}'
 
 
