@@ -9,13 +9,12 @@ from plumbline.functions.text import embedded_json, text_or_empty, word_set
 from plumbline.session import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
-MAX_PAIRS = 50
 MIN_SHARED_WORDS = 3
 MIN_WORD_CHARS = 5
-PROMPT_CHARS = 2000
 CONFIDENT, VERY_CONFIDENT = 0.7, 0.9
 # -----------------------------------------------------------------------------
 
+PAIR_SCHEMA = "doc_a long, doc_b long, shared_words long"
 FIRST_BATCH = 4
 BATCH_GROWTH = 8
 
@@ -25,10 +24,13 @@ def _significant_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("word"))
 
 
-def _pairs_of_first(docs: DataFrame, n_left: int, max_pairs: int) -> DataFrame:
-    """The first pairs, in document order, whose left document is among the first n_left."""
-    left = _significant_words(docs.orderBy("doc_id").limit(n_left)).toDF("doc_a", "word")
-    right = _significant_words(docs).toDF("doc_b", "word")
+def _pairs_up_to(words: DataFrame, after: int | None, cut: int, max_pairs: int) -> DataFrame:
+    """The first pairs, in document order, whose left document comes after one id and not after ``cut``."""
+    wanted = F.col("doc_id") <= cut
+    if after is not None:
+        wanted = wanted & (F.col("doc_id") > after)
+    left = words.where(wanted).toDF("doc_a", "word")
+    right = words.toDF("doc_b", "word")
     return (
         right.join(left, "word")
         .where(F.col("doc_a") < F.col("doc_b"))
@@ -40,29 +42,42 @@ def _pairs_of_first(docs: DataFrame, n_left: int, max_pairs: int) -> DataFrame:
     )
 
 
-def contradiction_candidates(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def contradiction_candidates(docs: DataFrame, max_pairs: int) -> DataFrame:
     """The first ``max_pairs`` pairs (doc_a, doc_b, shared_words), in document order,
     that share at least three words of five or more characters.
 
-    All qualifying pairs would be a quadratic table, so left documents are taken
-    in growing batches until the limit is met: each pass is one scan of the
-    corpus against a handful of documents. The result is exact, because every
-    pair of a later left document sorts after those of the batch.
+    All qualifying pairs would be a quadratic table, so the caller says how many it
+    wants, and left documents are taken in growing batches of ids until there are so
+    many. Only ids are ordered, and words are stored once for all passes. The result
+    is exact, because every pair of a later left document sorts after those of the
+    batch. Documents without id take no part.
     """
     if max_pairs < 1:
         raise ValueError("max_pairs must be at least 1")
-    n_docs = docs.count()
-    n_left = min(FIRST_BATCH, max(n_docs, 1))
+    words = cut_lineage(_significant_words(docs.where(F.col("doc_id").isNotNull())))
+    ids = words.select("doc_id").distinct()
+    found, after, size = None, None, FIRST_BATCH
     while True:
-        found = cut_lineage(_pairs_of_first(docs, n_left, max_pairs))
-        if n_left >= n_docs or found.count() >= max_pairs:
+        rest = ids if after is None else ids.where(F.col("doc_id") > after)
+        cut = rest.orderBy("doc_id").limit(size).agg(F.max("doc_id")).first()[0]
+        if cut is None:
+            return docs.sparkSession.createDataFrame([], PAIR_SCHEMA) if found is None else found
+        more = _pairs_up_to(words, after, cut, max_pairs)
+        found = cut_lineage(more if found is None else found.unionByName(more).orderBy("doc_a", "doc_b").limit(max_pairs))
+        if found.count() >= max_pairs:
             return found
-        n_left = min(n_left * BATCH_GROWTH, n_docs)
+        after, size = cut, size * BATCH_GROWTH
 
 
-def comparison_prompt(id_a: Column, text_a: Column, id_b: Column, text_b: Column) -> Column:
-    """The prompt for one pair; each text is cut to the first 2000 characters."""
-    cut = lambda c: F.substring(text_or_empty(c), 1, PROMPT_CHARS)
+def comparison_prompt(
+    id_a: Column, text_a: Column, id_b: Column, text_b: Column, max_chars: int | None = None
+) -> Column:
+    """The prompt for one pair, with whole texts; ``max_chars`` cuts each to its opening."""
+
+    def cut(c: Column) -> Column:
+        whole = text_or_empty(c)
+        return whole if max_chars is None else F.substring(whole, 1, max_chars)
+
     return F.concat(
         F.lit("Do these two documents contradict each other?\n\nDocument "),
         id_a.cast("string"), F.lit(":\n"), cut(text_a),
@@ -74,11 +89,13 @@ def comparison_prompt(id_a: Column, text_a: Column, id_b: Column, text_b: Column
     )
 
 
-def contradiction_prompts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def contradiction_prompts(pairs: DataFrame, docs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Candidate pairs with their prompt."""
     left = docs.select(F.col("doc_id").alias("doc_a"), F.col("content").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("doc_b"), F.col("content").alias("text_b"))
-    prompt = comparison_prompt(F.col("doc_a"), F.col("text_a"), F.col("doc_b"), F.col("text_b"))
+    prompt = comparison_prompt(
+        F.col("doc_a"), F.col("text_a"), F.col("doc_b"), F.col("text_b"), max_chars
+    )
     return pairs.join(left, "doc_a").join(right, "doc_b").select(
         "doc_a", "doc_b", prompt.alias("prompt")
     )
@@ -112,7 +129,7 @@ def contradiction_issues(found: DataFrame) -> DataFrame:
         F.lit("contradictions").alias("check"),
         F.lit("contradiction").alias("issue_type"),
         "severity",
-        F.concat(F.lit("Contradiction on "), F.col("topic")).alias("title"),
+        F.concat(F.lit("Documents disagree about "), F.col("topic")).alias("title"),
         F.col("explanation").alias("description"),
         F.array(F.col("doc_a").cast("string"), F.col("doc_b").cast("string")).alias("document_ids"),
         F.lit(1).cast("bigint").alias("n_issues"),

@@ -173,13 +173,19 @@ def audit_duplicates_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_a", "doc_b", rounded("similarity"), "n_pairs", "kind")
 
 
+#: The contradiction queries report the first so many pairs; the limit is the operator.
+FIRST_PAIRS = 50
+
+
 def contradiction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.contradiction_candidates(views.rank_docs(spark, sf_dir))
+    """The first FIRST_PAIRS pairs in document order."""
+    return co.contradiction_candidates(views.rank_docs(spark, sf_dir), FIRST_PAIRS)
 
 
 def contradiction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts, with whole texts, for the first FIRST_PAIRS pairs."""
     docs = views.rank_docs(spark, sf_dir)
-    return co.contradiction_prompts(co.contradiction_candidates(docs), docs)
+    return co.contradiction_prompts(co.contradiction_candidates(docs, FIRST_PAIRS), docs)
 
 
 def contradiction_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,17 +33,14 @@ def build_session(app: str = "plumbline", cpus: int | str = "*", **conf: str) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder must be shared storage, so that a lost executor costs nothing.
-    A temporary folder is set only where the session names none and runs in
-    local mode; elsewhere a missing setting is an error.
+    The folder must be shared storage, so that a lost executor costs nothing. A
+    session that names none is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
