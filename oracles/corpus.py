@@ -149,6 +149,8 @@ ORACLES = {
     "audit_staleness": f"WITH {STALE} SELECT doc_id, age_days, severity FROM staleness",
     "audit_duplicates_jaccard": f"""WITH {_dups(0.8)} SELECT doc_a, doc_b, round(similarity, 6) AS similarity, n_pairs,
       CASE WHEN similarity > 0.99 THEN 'exact' ELSE 'divergent' END AS kind FROM dups""",
+    "audit_duplicates_members": f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort({wset('text')})) AS group_id
+      FROM documents WHERE len({wset('text')}) > 0""",
     "audit_duplicates_vec": VEC_DUPS,
     "contradiction_candidates": f"WITH {CANDIDATES} SELECT * FROM candidates",
     "contradiction_prompts": f"""WITH {CANDIDATES} SELECT doc_a, doc_b, 'Do these two documents contradict each other?'

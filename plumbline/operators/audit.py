@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import contradictions, coverage, duplicates, staleness
+from plumbline.session import cut_lineage
 
 # --- fixed values: weights of the health formulas, severities ----------------
 CHECKS = ["staleness", "duplicates", "contradictions", "coverage"]
@@ -68,8 +69,14 @@ def audit_checks(
     )
 
 
+def tally(issues: DataFrame) -> DataFrame:
+    """Issues counted once by check and severity: a few rows from which checks and summary follow."""
+    counts = issues.groupBy("check", "severity").agg(F.sum("n_issues").alias("n_issues"))
+    return cut_lineage(counts)
+
+
 def audit_summary(checks: DataFrame, issues: DataFrame) -> DataFrame:
-    """C11: one row with the merged health (mean of the checks, half-even to 3 places),
+    """C11, from issues or their ``tally``: one row with the merged health (mean of the checks, half-even to 3 places),
     issue counts by severity and a summary line."""
     merged = checks.agg(
         F.max("n_documents").alias("total_documents"),
@@ -168,5 +175,6 @@ def run_audit(
         "n_documents",
         n_topics.alias("n_topics"),
     )
-    per_check = audit_checks(issues, sizes)
-    return per_check, audit_summary(per_check, issues), issues
+    counts = tally(issues)
+    per_check = audit_checks(counts, sizes)
+    return per_check, audit_summary(per_check, counts), issues

@@ -166,6 +166,11 @@ def audit_duplicates_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_a", "doc_b", rounded("similarity"), "n_pairs", "kind")
 
 
+def audit_duplicates_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document; the pairs of ``audit_duplicates_jaccard`` name groups."""
+    return du.members(views.rank_docs(spark, sf_dir))
+
+
 def audit_duplicates_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = du.duplicate_vectors(
         views.vectors(spark, sf_dir).select("doc_id", "v"), VECTOR_SIMILARITY
@@ -238,8 +243,8 @@ def audit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = _issues(spark, sf_dir)
-    return au.audit_summary(_checks(spark, sf_dir, issues), issues)
+    counts = au.tally(_issues(spark, sf_dir))
+    return au.audit_summary(_checks(spark, sf_dir, counts), counts)
 
 
 def audit_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +269,7 @@ QUERIES = {
     "adversarial_prompts": adversarial_prompts,
     "audit_staleness": audit_staleness,
     "audit_duplicates_jaccard": audit_duplicates_jaccard,
+    "audit_duplicates_members": audit_duplicates_members,
     "audit_duplicates_vec": audit_duplicates_vec,
     "contradiction_candidates": contradiction_candidates,
     "contradiction_prompts": contradiction_prompts,
