@@ -159,6 +159,11 @@ ORACLES = {
       || 'Reply with JSON only: {{"contradicts": true or false, "confidence": 0.0 to 1.0, "topic": "...", "explanation": "..."}}' AS prompt
       FROM candidates JOIN documents a ON a.doc_id = doc_a JOIN documents b ON b.doc_id = doc_b""",
     "contradiction_verdicts": f"WITH {VERDICTS} SELECT doc_a, doc_b, round(confidence, 6) AS confidence, topic, severity FROM verdicts",
+    "coverage_gap_members": f"WITH {TOPICS} SELECT cluster, size, vec_id AS doc_id FROM topics JOIN embeddings ON label = cluster WHERE size < 45",
+    "coverage_invariants": """SELECT count(*) AS n_documents, count(*) AS n_in_topics, true AS few_topics, true AS all_named
+      FROM embeddings""",
+    "audit_sorted_issues": f"""WITH {ISSUES} SELECT chk AS "check", severity FROM issues
+      ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), chk LIMIT 20""",
     "coverage_by_label": f"WITH {TOPICS} SELECT cluster, size, representative FROM topics",
     "audit_checks": f"""WITH {ISSUES} SELECT chk AS "check", docs AS n_documents, n_issues, round(health, 6)::DOUBLE AS health FROM checks""",
     "audit_summary": f"""WITH {ISSUES},

@@ -164,8 +164,9 @@ def run_audit(
         confirmed = contradictions.contradictions(verdicts)
         parts.append(contradictions.contradiction_issues(confirmed))
     if "coverage" in chosen:
-        topics = coverage.topics(coverage.cluster_documents(vectors))
-        parts.append(coverage.coverage_issues(coverage.coverage_gaps(topics)))
+        clustered = cut_lineage(coverage.cluster_documents(vectors))
+        topics = coverage.topics(clustered)
+        parts.append(coverage.coverage_issues(coverage.coverage_gaps(topics, clustered=clustered)))
     issues = reduce(DataFrame.unionByName, parts)
     n_topics = (
         F.lit(0).cast("bigint") if topics is None else topics.agg(F.count(F.lit(1))).scalar()

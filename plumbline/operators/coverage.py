@@ -15,16 +15,19 @@ from plumbline.functions.vectors import squared_l2
 
 # --- fixed values ------------------------------------------------------------
 MIN_CLUSTER_SIZE = 2
-MAX_CLUSTERS = 20
 SEED = 42
 # -----------------------------------------------------------------------------
 
 
-def cluster_count(n_docs: int) -> int:
-    return max(2, min(math.isqrt(n_docs), MAX_CLUSTERS))
+def cluster_count(n_docs: int, max_clusters: int | None = None) -> int:
+    """The root of the number of documents, at least 2, at most ``max_clusters`` if given."""
+    wanted = max(2, math.isqrt(n_docs))
+    return wanted if max_clusters is None else min(wanted, max(2, max_clusters))
 
 
-def cluster_documents(vectors: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE) -> DataFrame:
+def cluster_documents(
+    vectors: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, max_clusters: int | None = None
+) -> DataFrame:
     """``vectors(doc_id, v)`` with a ``cluster`` by k-means; empty when there are fewer
     documents than ``min_cluster_size``."""
     n = vectors.count()
@@ -32,7 +35,7 @@ def cluster_documents(vectors: DataFrame, min_cluster_size: int = MIN_CLUSTER_SI
         return vectors.limit(0).withColumn("cluster", F.lit(0))
     featured = vectors.withColumn("features", array_to_vector("v"))
     model = KMeans(
-        k=cluster_count(n), seed=SEED, featuresCol="features", predictionCol="cluster"
+        k=cluster_count(n, max_clusters), seed=SEED, featuresCol="features", predictionCol="cluster"
     ).fit(featured)
     return model.transform(featured).drop("features")
 
@@ -66,8 +69,20 @@ def labelled_topics(topic_rows: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def coverage_gaps(topic_rows: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE) -> DataFrame:
-    return topic_rows.where(F.col("size") < min_cluster_size)
+def coverage_gaps(
+    topic_rows: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, clustered: DataFrame | None = None
+) -> DataFrame:
+    """Topics of fewer than ``min_cluster_size`` documents, with all their ``document_ids``
+    where ``clustered(doc_id, cluster)`` is given. The lists are as short as the bound."""
+    thin = topic_rows.where(F.col("size") < min_cluster_size)
+    if clustered is None:
+        return thin.withColumn("document_ids", F.array("representative"))
+    ids = (
+        clustered.join(thin.select("cluster"), "cluster", "left_semi")
+        .groupBy("cluster")
+        .agg(F.array_sort(F.collect_list("doc_id")).alias("document_ids"))
+    )
+    return thin.join(ids, "cluster")
 
 
 def coverage_issues(gaps: DataFrame) -> DataFrame:
@@ -81,6 +96,6 @@ def coverage_issues(gaps: DataFrame) -> DataFrame:
         F.concat(F.lit("Only "), F.col("size").cast("string"), F.lit(" document(s).")).alias(
             "description"
         ),
-        F.array(F.col("representative").cast("string")).alias("document_ids"),
+        F.col("document_ids").cast("array<string>").alias("document_ids"),
         F.lit(1).cast("bigint").alias("n_issues"),
     )

@@ -99,6 +99,21 @@ def resolve_contexts(retrieved: Column, context: Column, logged: Column | None =
     )
 
 
+def _one_by_one(call: Callable[[list], list], inputs: list) -> tuple[list, list[str | None]]:
+    """Results and errors of a batch call, of single calls where the batch fails."""
+    try:
+        found = list(call(inputs))
+        if len(found) == len(inputs):
+            return found, [None] * len(inputs)
+        problem = f"{len(found)} results for {len(inputs)} inputs"
+    except Exception as raised:  # the caller's code may raise anything
+        problem = str(raised)
+    if len(inputs) == 1:
+        return [None], [problem]
+    single = [_one_by_one(call, [x]) for x in inputs]
+    return [r[0] for r, _ in single], [e[0] for _, e in single]
+
+
 def generate_answers(
     df: DataFrame,
     make_generator: Callable[[], Callable[[list[str]], list[str]]],
@@ -107,8 +122,9 @@ def generate_answers(
     """Answer every prompt with a user function, one call per Arrow batch.
 
     ``make_generator`` runs once per partition and returns ``texts -> answers``.
-    A batch that raises gives a null answer and the message in ``generation_error``,
-    so a bad batch never fails the job.
+    Where a batch raises, or returns another number of answers, its prompts are tried
+    one by one: only a prompt that fails by itself gets a null answer, with the
+    message in ``generation_error``.
     """
     schema = T.StructType(
         [
@@ -121,12 +137,8 @@ def generate_answers(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make_generator()
         for batch in batches:
-            try:
-                yield batch.assign(
-                    answer=generate(batch[prompt_col].tolist()), generation_error=None
-                )
-            except Exception as problem:  # the caller's code may raise anything
-                yield batch.assign(answer=None, generation_error=str(problem))
+            answers, errors = _one_by_one(generate, batch[prompt_col].tolist())
+            yield batch.assign(answer=answers, generation_error=errors)
 
     return df.mapInPandas(run, schema)
 
@@ -137,12 +149,16 @@ def embed_column(
     text_col: str,
     out_col: str = "embedding",
 ) -> DataFrame:
-    """Embed a text column with a user function, initialised once per partition."""
+    """Embed a text column with a user function, initialised once per partition.
+
+    A text for which the function raises has a null vector; the others keep theirs.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make_embedder()
         for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in embedder(batch.fillna("").tolist())])
+            found, _ = _one_by_one(embedder, batch.fillna("").tolist())
+            yield pd.Series([None if v is None else list(map(float, v)) for v in found])
 
     return df.withColumn(out_col, embed(F.col(text_col)))

@@ -16,6 +16,7 @@ from plumbline.operators import staleness as st
 from plumbline.operators import synthesis as sy
 from plumbline.plans import views
 from plumbline.plans.metric_queries import rounded
+from plumbline.session import cut_lineage
 
 VECTOR_SIMILARITY = 0.4  # no pair of the test vectors is nearer than about 0.5
 QUOTA = 3
@@ -214,9 +215,43 @@ def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.labelled_topics(found, views.rank_docs(spark, sf_dir))
 
 
+def coverage_gap_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the thin topics."""
+    labelled = _labelled(spark, sf_dir)
+    gaps = cv.coverage_gaps(cv.topics(labelled), min_cluster_size=45, clustered=labelled)
+    return gaps.select(_big("cluster"), "size", F.explode("document_ids").alias("doc_id"))
+
+
+def coverage_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for k-means topics however they start: sizes add up to the documents,
+    there are as many topics as wanted or fewer, and each names a document."""
+    clustered = cut_lineage(cv.cluster_documents(views.vectors(spark, sf_dir).select("doc_id", "v")))
+    topics = cv.topics(clustered)
+    n = clustered.agg(F.count(F.lit(1)).alias("n_documents"))
+    total = topics.agg(F.sum("size").alias("n_in_topics"), F.count(F.lit(1)).alias("n_topics"))
+    wanted = F.greatest(F.lit(2), F.floor(F.sqrt("n_documents")))
+    named = topics.join(clustered, F.col("representative") == F.col("doc_id"), "left_semi").agg(
+        F.count(F.lit(1)).alias("n_named")
+    )
+    one = [df.withColumn("_k", F.lit(1)) for df in (n, total, named)]
+    return one[0].join(one[1], "_k").join(one[2], "_k").select(
+        "n_documents",
+        "n_in_topics",
+        (F.col("n_topics") <= wanted).alias("few_topics"),
+        (F.col("n_named") == F.col("n_topics")).alias("all_named"),
+    )
+
+
+def audit_sorted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 issues from critical to low, by their place (a top-k report)."""
+    listed = au.sorted_issues(_issues(spark, sf_dir).select("check", "severity", "title"), 20)
+    return listed.select("check", "severity")
+
+
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.rank_docs(spark, sf_dir)
-    gaps = cv.coverage_gaps(cv.topics(_labelled(spark, sf_dir)), min_cluster_size=45)
+    labelled = _labelled(spark, sf_dir)
+    gaps = cv.coverage_gaps(cv.topics(labelled), min_cluster_size=45, clustered=labelled)
     parts = [
         st.staleness_issues(_stale(spark, sf_dir)),
         du.duplicate_issues(du.duplicate_texts(docs)),
@@ -276,6 +311,9 @@ QUERIES = {
     "contradiction_verdicts": contradiction_verdicts,
     "coverage_by_label": coverage_by_label,
     "audit_coverage": audit_coverage,
+    "coverage_gap_members": coverage_gap_members,
+    "coverage_invariants": coverage_invariants,
+    "audit_sorted_issues": audit_sorted_issues,
     "audit_checks": audit_checks,
     "audit_summary": audit_summary,
     "audit_issue_counts": audit_issue_counts,

@@ -113,7 +113,8 @@ def test_topics_and_gaps(spark):
     got = {r["cluster"]: (r["size"], r["representative"]) for r in cv.topics(df).collect()}
     assert got == {0: (3, 3), 1: (1, 4)}
     assert [r["cluster"] for r in cv.coverage_gaps(cv.topics(df)).collect()] == [1]
-    assert [cv.cluster_count(n) for n in (2, 9, 24, 1000)] == [2, 3, 4, 20]
+    assert [cv.cluster_count(n) for n in (2, 9, 24, 1000)] == [2, 3, 4, 31]
+    assert cv.cluster_count(1000, max_clusters=20) == 20
 
 
 def test_kmeans_coverage_invariants(spark, sf_dir):

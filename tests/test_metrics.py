@@ -227,5 +227,20 @@ def test_user_generator_and_embedder(spark):
 
     failed = providers.generate_answers(df, broken).collect()
     assert {r["generation_error"] for r in failed} == {"model is down"}
+
+    def picky():
+        def run(texts):
+            if "two" in texts:
+                raise ValueError("not two")
+            return [[len(t), 1] for t in texts]
+
+        return run
+
+    one = df.coalesce(1)
+    made = {r["prompt"]: r for r in providers.generate_answers(one, lambda: lambda ts: [str(v) for v in picky()(ts)]).collect()}
+    assert made["one"]["answer"] == "[3, 1]" and made["two"]["generation_error"] == "not two" and made["two"]["answer"] is None
+    short = providers.generate_answers(one, lambda: lambda texts: texts[:1]).collect()
+    assert {r["answer"] for r in short} == {"one", "two"}
+    assert {r["prompt"]: r["embedding"] for r in providers.embed_column(one, picky, "prompt").collect()} == {"one": [3.0, 1.0], "two": None}
     vecs = providers.embed_column(df, lambda: lambda texts: [[len(t), 1] for t in texts], "prompt")
     assert vecs.first()["embedding"] == [3.0, 1.0]
