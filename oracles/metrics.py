@@ -147,6 +147,12 @@ ORACLES = {
     "nli_label": NLI_LABEL,
     "nli_faithfulness": NLI_FAITHFULNESS,
     "nli_evidence": NLI_EVIDENCE,
+    "nli_support_long": NLI_FAITHFULNESS,
+    "m_faithfulness_nli": f"SELECT item_id, faithfulness_nli AS faithfulness FROM ({NLI_FAITHFULNESS})",
+    "m_relevancy_nli": f"""WITH {ITEMS} SELECT item_id, CASE WHEN coalesce(question, '') = '' OR coalesce(answer, '') = ''
+        OR len({wset('question')}) = 0 THEN 0.0 ELSE
+        round(len(list_intersect({wset('question')}, {wset('answer')}))::DOUBLE / len({wset('question')}), 6) END AS answer_relevancy
+      FROM items""",
     "build_prompt": f"WITH {ITEMS} SELECT item_id, {PROMPT} AS prompt FROM items",
     "mock_generate": f"""WITH {ITEMS},
       p AS (SELECT item_id, ground_truth, {PROMPT} AS prompt FROM items),

@@ -7,7 +7,7 @@ that is not.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -146,6 +146,42 @@ def _builtin() -> dict[str, Metric]:
 _REGISTRY: dict[str, Metric] = _builtin()
 
 
+def _given(name: str, variant: str, score: Callable[[], Column]) -> Metric:
+    """A form of a metric that reads what a model gave; a row without it scores 0 with a message."""
+    message = F.lit(f"the {variant} form of {name} has no input here")
+    return Metric(name, lambda k: score(), (), lambda k: F.when(score().isNull(), message))
+
+
+def _variants() -> dict[tuple[str, str], Metric]:
+    """Model-backed forms by metric and variant, and the columns they read.
+
+    vectors: answer_vec and ground_truth_vec; scores: bertscore_f1; nli:
+    faithfulness_nli (as ``claim_support`` adds it) or relevancy_nli (entailment of
+    the question by the answer).
+    """
+    vectors = lambda: (_c("answer_vec"), _c("ground_truth_vec"))
+    forms = [
+        ("semantic_similarity", "vectors", lambda: gm.vector_similarity(*vectors())),
+        ("bertscore", "vectors", lambda: gm.vector_bertscore(*vectors())),
+        ("bertscore", "scores", lambda: gm.given_bertscore(_c("bertscore_f1"))),
+        ("faithfulness", "nli", lambda: _c("faithfulness_nli")),
+        ("answer_relevancy", "nli", lambda: gm.nli_relevancy(_c("question"), _c("answer"), _c("relevancy_nli"))),
+    ]
+    return {(name, variant): _given(name, variant, score) for name, variant, score in forms}
+
+
+def _chosen(names: list[str], variants: Mapping[str, str] | None) -> list[Metric]:
+    """The metrics, in the wanted forms; ``words`` is the built-in form of every metric."""
+    wanted = {SHORT_NAMES.get(n, n): v for n, v in (variants or {}).items() if v != "words"}
+    if not wanted:
+        return [_REGISTRY[n] for n in names]
+    known = _variants()
+    unknown = [f"{n}: {v}" for n, v in wanted.items() if (n, v) not in known]
+    if unknown:
+        raise KeyError(f"unknown variants {unknown}; available: {sorted(known)}")
+    return [known[n, wanted[n]] if n in wanted else _REGISTRY[n] for n in names]
+
+
 def metric_names() -> list[str]:
     return sorted(_REGISTRY)
 
@@ -202,6 +238,7 @@ def evaluate(
     metrics: Iterable[str] = tuple(DEFAULT_METRICS),
     k: int | None = None,
     failed: Column | None = None,
+    variants: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add a DOUBLE column per metric, plus ``metric_errors`` (MAP name to message).
 
@@ -209,10 +246,11 @@ def evaluate(
     ``ground_truth_contexts``, ``latency_ms``, ``prompt_tokens`` and
     ``completion_tokens`` as the chosen metrics need them. A metric that fails on
     a row scores 0 there and leaves a message. Rows where ``failed`` is true get
-    0 for every metric (A4).
+    0 for every metric (A4). ``variants`` picks the model-backed form of a metric by
+    name: ``vectors``, ``scores`` or ``nli``; their inputs are columns of ``df``.
     """
     names = resolve_metrics(metrics)
-    chosen = [_REGISTRY[n] for n in names]
+    chosen = _chosen(names, variants)
     prepared, temps = _prepare(df, {n for m in chosen for n in m.needs})
     off = F.lit(False) if failed is None else F.coalesce(failed, F.lit(False))
 

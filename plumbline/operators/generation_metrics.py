@@ -90,6 +90,11 @@ def answer_relevancy(
     )
 
 
+def nli_relevancy(question: Column, answer: Column, entailment: Column) -> Column:
+    """answer_relevancy from the entailment score of the question by the answer."""
+    return F.when(_missing(question) | _missing(answer), F.lit(0.0)).otherwise(clamp01(entailment))
+
+
 def hallucination(
     answer: Column, contexts: Column, answer_set: Column, context_set: Column
 ) -> Column:

@@ -128,6 +128,30 @@ def nli_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nli_support_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim support from long tables of claims and scores, for every item."""
+    items_ = views.items(spark, sf_dir)
+    rows = nli.evidence_rows(nli.claim_support(items_, nli.word_entailment, threshold=0.5))
+    scores = rows.select("item_id", "claim_idx", "ctx_idx", "entailed_score")
+    return nli.support_from_scores(rows, scores, 0.5, items_).select(
+        "item_id", "n_claims", "n_supported", rounded("faithfulness_nli")
+    )
+
+
+def m_faithfulness_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supported = nli.claim_support(views.items(spark, sf_dir), nli.word_entailment, threshold=0.5)
+    scored = evaluate(supported, ["faithfulness"], variants={"faithfulness": "nli"})
+    return scored.select("item_id", rounded("faithfulness"))
+
+
+def m_relevancy_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of question words in the answer stands for the entailment score."""
+    asked, said = tx.word_set(F.col("question")), tx.word_set(F.col("answer"))
+    given = views.items(spark, sf_dir).withColumn("relevancy_nli", nli.word_entailment(asked, said))
+    scored = evaluate(given, ["answer_relevancy"], variants={"answer_relevancy": "nli"})
+    return scored.select("item_id", rounded("answer_relevancy"))
+
+
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.items(spark, sf_dir).select(
         "item_id", build_prompt(F.col("question"), F.col("contexts")).alias("prompt")
@@ -234,6 +258,9 @@ QUERIES = {
     "nli_label": nli_label,
     "nli_faithfulness": nli_faithfulness,
     "nli_evidence": nli_evidence,
+    "nli_support_long": nli_support_long,
+    "m_faithfulness_nli": m_faithfulness_nli,
+    "m_relevancy_nli": m_relevancy_nli,
     "build_prompt": build_prompts,
     "mock_generate": mock_generate,
     "mock_retrieve": mock_retrieve,
