@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.lines import numbered_lines
+
 # --- fixed values: file types of a corpus ------------------------------------
 WHOLE_FILE_TYPES = ["txt", "md", "rst", "html", "json"]
 LINE_FILE_TYPE = "jsonl"
+LINE_FILES = "*.[jJ][sS][oO][nN][lL]"
 # -----------------------------------------------------------------------------
 
 REPLACEMENT = "\ufffd"  # what Spark puts in the place of undecodable bytes
@@ -32,6 +35,12 @@ def _files(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
     )
 
 
+def _readable(column: str) -> Column:
+    """The text without undecodable bytes."""
+    cleaned = F.replace(F.make_valid_utf8(column), F.lit(REPLACEMENT), F.lit(""))
+    return F.when(F.is_valid_utf8(column), F.col(column)).otherwise(cleaned)
+
+
 def read_corpus(
     spark: SparkSession, path: str, max_documents: int | None = None, root: str | None = None
 ) -> DataFrame:
@@ -42,8 +51,7 @@ def read_corpus(
     skipped. ``root`` is cut off the front of the ids. ``max_documents`` keeps the
     first documents by id, when the caller wants a cap; there is none by default.
     """
-    readable = F.replace(F.make_valid_utf8("content"), F.lit(REPLACEMENT), F.lit(""))
-    text = F.when(F.is_valid_utf8("content"), F.col("content")).otherwise(readable)
+    text = _readable("content")
     files = _files(spark, path, WHOLE_FILE_TYPES)
     whole = files.withColumn("content", text).where(F.col("content").rlike(r"(?U)\S")).select(
         "doc_id",
@@ -54,16 +62,16 @@ def read_corpus(
             F.lit("size_bytes"), F.col("size").cast("string"),
         ).alias("metadata"),
     )
-    logs = _files(spark, path, [LINE_FILE_TYPE]).select(
-        "doc_id", "filename", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")
-    )
-    number = (F.col("pos") + 1).cast("string")
+    text = _readable("value")
+    logs = numbered_lines(spark, path, recursiveFileLookup=True, pathGlobFilter=LINE_FILES)
+    number = F.col("line").cast("string")
     lines = (
-        logs.withColumn("line", F.trim("line"))
-        .where((F.col("line") != "") & F.try_parse_json("line").isNotNull())
+        logs.withColumn("content", text)
+        .withColumn("content", F.trim("content"))
+        .where((F.col("content") != "") & F.try_parse_json("content").isNotNull())
         .select(
-            F.concat("doc_id", F.lit(":L"), number).alias("doc_id"),
-            F.col("line").alias("content"),
+            F.concat("file", F.lit(":L"), number).alias("doc_id"),
+            "content",
             F.create_map(
                 F.lit("filename"), F.col("filename"),
                 F.lit("extension"), F.lit("." + LINE_FILE_TYPE),
@@ -91,10 +99,13 @@ def read_corpus_strict(spark: SparkSession, path: str, root: str | None = None)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Retriever documents, JSON lines or arrays of ``{content, metadata, id}``."""
-    rows = spark.read.option("multiLine", not path.endswith(LINE_FILE_TYPE)).schema(
-        "id STRING, content STRING, metadata MAP<STRING, STRING>"
-    )
-    return rows.json(path).select(
+    """Retriever documents ``{content, metadata, id}``: one per line in ``.jsonl`` files,
+    arrays or objects in ``.json`` files, from a file or a folder with both."""
+
+    def rows(kind: str, whole: bool) -> DataFrame:
+        reader = spark.read.option("pathGlobFilter", kind).option("multiLine", whole)
+        return reader.schema("id STRING, content STRING, metadata MAP<STRING, STRING>").json(path)
+
+    return rows(LINE_FILES, False).unionByName(rows("*.[jJ][sS][oO][nN]", True)).select(
         F.col("id").alias("doc_id"), F.coalesce("content", F.lit("")).alias("content"), "metadata"
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import strip, text_or_empty
+from plumbline.sources.lines import numbered_lines
 
 # --- fixed values: field names tried in order, page question, shuffle seed ---
 QUESTION_FIELDS = ["question", "query", "input", "prompt"]
@@ -61,27 +62,10 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """One JSON object per line; blank lines are skipped.
 
     Returns (items, rejected). ``rejected`` has file, line (number, from 1), error
-    and value, for lines that are no JSON and for JSON that is no object. Line
-    numbers come from whole files split inside their row, so a file must fit a
-    task; use ``read_jsonl_lines`` for files that must be split.
+    and value, for lines that are no JSON and for JSON that is no object. Files are
+    read by splits, so they may be of any size.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
-    )
-    lines = files.select(
-        "file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value")
-    ).where(F.trim("value") != "")
-    return _split_lines(lines.withColumn("line", F.col("pos") + 1).drop("pos"))
-
-
-def read_jsonl_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S2 for files of any size: lines are read by splits, so ``line`` is null."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return _split_lines(
-        lines.select(
-            F.col("_metadata.file_path").alias("file"), "value", F.lit(None).cast("int").alias("line")
-        )
-    )
+    return _split_lines(numbered_lines(spark, path).where(F.trim("value") != ""))
 
 
 def _split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
