@@ -137,9 +137,9 @@ ORACLES = {
     "synth_type_counts": f"""WITH {RESPONSE_PARTS},
       typed AS (SELECT {KINDS}[doc_id % 6 + 1] AS test_type FROM cases)
       SELECT test_type, count(*) AS n FROM typed WHERE test_type IN ('standard', 'multi_hop', 'misleading') GROUP BY ALL""",
-    "chunk_quota": f"""WITH {CHUNK_ROWS}, n AS (SELECT count(*) AS n FROM chunk_rows)
-      SELECT doc_id, chunk_idx, (greatest(1, 5000 // n) + CASE WHEN row_number() OVER (ORDER BY doc_id, chunk_idx)
-        <= 5000 - greatest(1, 5000 // n) * n THEN 1 ELSE 0 END)::BIGINT AS n_questions FROM chunk_rows, n""",
+    "chunk_quota": f"""WITH {CHUNK_ROWS}, n AS (SELECT count(*) AS n, 7 * (SELECT count(*) FROM documents) AS wanted FROM chunk_rows)
+      SELECT doc_id, chunk_idx, (greatest(1, wanted // n) + CASE WHEN row_number() OVER (ORDER BY doc_id, chunk_idx)
+        <= wanted - greatest(1, wanted // n) * n THEN 1 ELSE 0 END)::BIGINT AS n_questions FROM chunk_rows, n""",
     "synth_prompts": f"""WITH {CHUNK_ROWS} SELECT doc_id, chunk_idx, 'standard' AS test_type,
       'Write 3 question(s) that the text below answers, each with its answer.' || chr(10) || {FORMAT} || chr(10) || chr(10)
       || 'Text:' || chr(10) || {ESCAPED} AS prompt FROM chunk_rows""",

@@ -41,15 +41,22 @@ def chunk_documents(
 
 def chunk_quotas(chunked: DataFrame, count: int) -> DataFrame:
     """Y2: add ``n_questions``: an equal share per chunk, at least 1, the remainder one
-    each to the first chunks in document order."""
+    each to the first chunks in document order.
+
+    Only keys are numbered, to find the last chunk with a larger share; the texts stay
+    where they are.
+    """
     n = chunked.count()
     share = max(1, count // n) if n else 1
     rest = count - share * n
     if rest <= 0:
         return chunked.withColumn("n_questions", F.lit(share).cast("bigint"))
-    numbered = number_rows(chunked, "doc_id", "chunk_idx", name="_no")
-    extra = (F.col("_no") < rest).cast("bigint")
-    return numbered.withColumn("n_questions", F.lit(share).cast("bigint") + extra).drop("_no")
+    keys = number_rows(chunked.select("doc_id", "chunk_idx"), "doc_id", "chunk_idx", name="_no")
+    last = keys.where(F.col("_no") == rest - 1).first()
+    favoured = (F.col("doc_id") < last["doc_id"]) | (
+        (F.col("doc_id") == last["doc_id"]) & (F.col("chunk_idx") <= last["chunk_idx"])
+    )
+    return chunked.withColumn("n_questions", F.lit(share).cast("bigint") + favoured.cast("bigint"))
 
 
 def _escaped(c: Column) -> Column:

@@ -20,7 +20,7 @@ from plumbline.session import cut_lineage
 
 VECTOR_SIMILARITY = 0.4  # no pair of the test vectors is nearer than about 0.5
 QUOTA = 3
-QUESTIONS = 5000
+QUESTIONS_PER_DOCUMENT = 7
 
 
 def _big(name: str):
@@ -132,8 +132,9 @@ def synth_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunked = sy.chunk_documents(views.rank_docs(spark, sf_dir))
-    return sy.chunk_quotas(chunked, QUESTIONS).select(
+    docs = views.rank_docs(spark, sf_dir)
+    chunked = sy.chunk_documents(docs)
+    return sy.chunk_quotas(chunked, QUESTIONS_PER_DOCUMENT * docs.count()).select(
         "doc_id", _big("chunk_idx"), "n_questions"
     )
 

@@ -261,27 +261,37 @@ def rank_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id) for documents that contain the whole query text.
 
-    Candidates come from an equi-join on four inner words of the query, which
-    stand whole in any text that contains it; the containment test then
-    decides. Query passages have at least six words.
+    Candidates come from an equi-join on up to four inner words of the query, which
+    stand whole in any text that contains it (its first and last word may be parts of
+    longer words). Only ids pass the join; the texts of the candidates then decide.
+    Queries of one or two words have no inner word and are held against every text.
     """
-    queries = rank_queries(spark, sf_dir)
+    queries = rank_queries(spark, sf_dir).withColumn("w", tx.split_words(F.col("text")))
+    size = F.greatest(F.lit(0), F.least(F.lit(4), F.size("w") - 2))
     anchored = queries.select(
-        "query_id",
-        "text",
-        F.array_join(F.slice(tx.split_words(F.col("text")), 2, 4), " ").alias("anchor"),
+        "query_id", size.alias("size"), F.array_join(F.slice("w", 2, size), " ").alias("anchor")
     )
+    sizes = sorted(r["size"] for r in anchored.select("size").distinct().collect())
     docs = rank_docs(spark, sf_dir).withColumn("w", tx.split_words(F.col("content")))
-    runs = tx.let(
-        F.col("w"),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))),
-            lambda i: F.concat_ws(" ", F.slice(w, i, 4)),
-        ),
-    )
-    grams = docs.select("doc_id", "content", F.explode(F.array_distinct(runs)).alias("anchor"))
+
+    def runs(w: Column) -> Column:
+        def of(n: int) -> Column:
+            last = F.size(w) - (n - 1)
+            found = F.transform(
+                F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+                lambda i: F.concat_ws(" ", F.slice(w, i, n)),
+            )
+            return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*(of(n) if n else F.array(F.lit("")) for n in sizes)))
+
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, doc_id long")
+    grams = docs.select("doc_id", F.explode(tx.let(F.col("w"), runs)).alias("anchor"))
+    pairs = grams.join(anchored, "anchor").select("query_id", "doc_id").distinct()
     return (
-        grams.join(anchored, "anchor")
+        pairs.join(queries.select("query_id", "text"), "query_id")
+        .join(docs.select("doc_id", "content"), "doc_id")
         .where(F.contains("content", "text"))
         .select("query_id", "doc_id")
     )
