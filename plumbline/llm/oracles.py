@@ -1,3 +1,53 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express, written separately."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hex40: str) -> str:
+    """Base 32 of 40 hexadecimal digits, five of them for four letters."""
+    value = lambda n: f"('0x' || substr({hex40}, {5 * n + 1}, 5))::BIGINT"
+    letter = lambda n, shift: f"substr('{ALPHABET}', 1 + (({value(n)} >> {shift}) & 31)::INTEGER, 1)"
+    return " || ".join(letter(n, shift) for n in range(8) for shift in (15, 10, 5, 0))
+
+
+PATTERNS = [
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+
+
+def _spans(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches in order; a match starts after all parts and matches before it."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    start = f"(list_sum(list_transform(p{number}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m{number}[1:k - 1], lambda x: length(x))), 0))::BIGINT"
+    each = f"{{'s': {start}, 'n': {number}, 'kind': '{kind}', 'e': {start} + length(m{number}[k]), 'size': length(g{number}[k])}}"
+    listed = f"list_filter(list_transform(range(1, len(m{number}) + 1), lambda k: {each}), lambda x: x.size >= {least})"
+    return f"""s{number} AS (SELECT key, {listed} AS found FROM (SELECT key, string_split_regex(t, {p}) AS p{number},
+  regexp_extract_all(t, {p}, 0) AS m{number}, regexp_extract_all(t, {p}, {group}) AS g{number} FROM d))"""
+
+
+def _listed(spans: str) -> str:
+    return f"array_to_string(list_transform({spans}, lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"
+
+
+SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS t FROM documents),
+{', '.join(_spans(n, *rule) for n, rule in enumerate(PATTERNS))},
+a AS (SELECT doc_id, s0.found AS f0, s1.found AS f1, s2.found AS f2,
+    list_sort(list_concat(list_concat(s0.found, s1.found), s2.found)) AS base,
+    list_sort(list_concat(list_concat(list_concat(list_concat(s0.found, s1.found), s2.found), s3.found), s4.found)) AS every
+  FROM d JOIN s0 USING (key) JOIN s1 USING (key) JOIN s2 USING (key) JOIN s3 USING (key) JOIN s4 USING (key))
+SELECT doc_id, len(f0)::BIGINT AS n_assign, len(f1)::BIGINT AS n_access, len(f2)::BIGINT AS n_hex,
+  sha256({_listed('base')}) AS base_sha256, {_listed('every')} AS spans FROM a"""
+
+WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS newest FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_base32('d')} AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to FROM w"""
+
+ORACLES: dict[str, str] = {"op9_secrets": SECRETS, "op10_warc": WARC}
