@@ -265,7 +265,8 @@ def bm25_topk(
     top = _best(best, k).drop("rank")
     needy = known.where(F.col("n_hits") < k).select("query_id", "n_scored")
     # Without negative scores a query short of hits has all of them in ``top``.
-    scored = top if stats.mean_idf >= 0 else bm25_scores(queries, docs, stats, tokenizer)
+    asking = queries.join(needy.select("query_id"), "query_id", "left_semi")
+    scored = top if stats.mean_idf >= 0 else bm25_scores(asking, docs, stats, tokenizer)
     filled = top.unionByName(
         _unscored(needy, docs, scored.select("query_id", "doc_id"), k, stats)
     )

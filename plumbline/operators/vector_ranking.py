@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.ranking import check_k
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
+SLICE_ROWS = 512  # queries of a block that are scored at a time
+LEAST_ROWS = 256  # smaller blocks are not worth a task
 PAIR_BLOCK_ROWS = 2048  # a block pair of near copies may return every cell
 
 
@@ -56,9 +58,11 @@ KERNELS: dict[str, Callable] = {
 }
 
 
-def block_count(df: DataFrame, block_rows: int) -> int:
-    """How many blocks hold the table; the count is a metadata read on Parquet."""
-    return max(1, math.ceil(df.count() / block_rows))
+def block_count(df: DataFrame, block_rows: int, tasks: int = 1) -> int:
+    """How many blocks hold the table, about ``tasks`` where its rows are enough for so many;
+    the count is a metadata read on Parquet."""
+    n = df.count()
+    return max(1, math.ceil(n / block_rows), min(tasks, math.ceil(n / LEAST_ROWS)))
 
 
 def block_of(id_col: str, blocks: int) -> Column:
@@ -82,7 +86,8 @@ def topk_vectors(
     """
     check_k(k)
     score = KERNELS[kernel]
-    q_blocks, d_blocks = block_count(queries, block_rows), block_count(docs, block_rows)
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    q_blocks, d_blocks = block_count(queries, block_rows), block_count(docs, block_rows, tasks)
     left = queries.select(
         "query_id",
         "v",
@@ -100,20 +105,21 @@ def topk_vectors(
         if q.empty or d.empty:
             return pd.DataFrame(columns=["query_id", "doc_id", "near", "score"])
         d = d.sort_values("doc_id", kind="stable")
-        order, value = score(_matrix(q["v"]), _matrix(d["v"]))
-        near = np.round(order, 12)
-        kept = min(k, len(d))
-        top = np.argsort(-near, axis=1, kind="stable")[:, :kept]
-        rows = np.repeat(np.arange(len(q)), kept)
-        cols = top.ravel()
-        return pd.DataFrame(
-            {
-                "query_id": q["query_id"].to_numpy()[rows],
-                "doc_id": d["doc_id"].to_numpy()[cols],
+        stored, ids, kept, parts = _matrix(d["v"]), d["doc_id"].to_numpy(), min(k, len(d)), []
+        for at in range(0, len(q), SLICE_ROWS):
+            some = q.iloc[at : at + SLICE_ROWS]
+            order, value = score(_matrix(some["v"]), stored)
+            near = np.round(order, 12)
+            cols = np.argsort(-near, axis=1, kind="stable")[:, :kept].ravel()
+            rows = np.repeat(np.arange(len(some)), kept)
+            found = {
+                "query_id": some["query_id"].to_numpy()[rows],
+                "doc_id": ids[cols],
                 "near": near[rows, cols],
                 "score": value[rows, cols],
             }
-        )
+            parts.append(pd.DataFrame(found))
+        return pd.concat(parts)
 
     partial = (
         left.groupBy("qb", "db")
