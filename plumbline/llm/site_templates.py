@@ -211,7 +211,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(page_key, host, content, subtree): a row for each element subtree of a page, by hash.
+    """(page_key, host, content, subtrees): hashes of a page's element subtrees.
 
     ``content`` is a hash of the page's text, so that copies of one page count once.
     """
@@ -230,8 +230,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
             )
 
     schema = "page_key long, host string, content long, subtrees array<long>"
-    read_pages = _keyed(pages).select("page_key", "url", "html").mapInArrow(read, schema)
-    return read_pages.select("page_key", "host", "content", F.explode("subtrees").alias("subtree"))
+    return _keyed(pages).select("page_key", "url", "html").mapInArrow(read, schema)
 
 
 def recurring(found: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
@@ -249,7 +248,7 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
     becomes one space, and blocks are joined by a line end in page order.
     """
     small_batches(pages.sparkSession)
-    found = cut_lineage(subtrees(pages))
+    found = cut_lineage(subtrees(pages)).select("page_key", "host", "content", F.explode("subtrees").alias("subtree"))
     of_page = (
         found.join(recurring(found, many_pages), ["host", "subtree"], "left_semi")
         .groupBy("page_key")
