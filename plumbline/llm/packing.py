@@ -137,8 +137,9 @@ def cut_documents(
         kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = tokens.encode(text) + end
+            coded = tokens.encode_all(batch["text"].to_pylist())
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), coded, strict=True):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     row = (doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)

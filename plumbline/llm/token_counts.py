@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,14 @@ def stored_counts(docs: DataFrame, cache_path: str, version: str) -> DataFrame:
 def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     """(digest, text) to (digest, n_tokens)."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path)
-        for frame in frames:
-            yield pd.DataFrame({"digest": frame["digest"], "n_tokens": [tokens.count(t) for t in frame["text"]]})
+        for batch in batches:
+            coded = tokens.encode_all(batch["text"].to_pylist())
+            n_tokens = pa.array([len(ids) // 4 for ids in coded], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["digest"], n_tokens], ["digest", "n_tokens"])
 
-    return texts.select("digest", "text").mapInPandas(count, "digest binary, n_tokens long")
+    return texts.select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
 
 
 def count_tokens(

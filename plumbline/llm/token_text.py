@@ -2,10 +2,11 @@
 
 The byte-level and the word-end vocabularies cut a text at white space before
 they merge bytes: no token crosses the place in front of a single space or
-either side of a single line end. The ids of a text are therefore the ids of its
-space-led words in order, and a word met before needs no second encoding. Texts
-with other white space (tabs, two spaces in a row) go through the tokenizer
-whole, so the ids are those of the library in every case.
+either side of a single line end, nor the place between a letter and the marks
+that end a word. The ids of a text are therefore the ids of its words in order, and a word
+met before needs no second encoding. Texts with other white space (tabs, two
+spaces in a row) go through the tokenizer whole, so the ids are those of the
+library in every case.
 """
 
 from __future__ import annotations
@@ -13,67 +14,143 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterable
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 
-#: White space after white space, white space other than space and line end, or the mark itself.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|\0")
-_MARK = "\0"
+#: White space, to one of the libraries at least, other than space and line end.
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+#: Marks that neither join letters nor begin or end a special string.
+_MARKS = ".,;:!?*#$%&()"
+#: Letters below this are letters in every version of the character tables.
+_LATIN = "ɐ"
+#: Plain words that are encoded in one call.
+_TOGETHER = 256
+
+
+def id_bytes(ids) -> bytes:
+    """Little-endian 32-bit ids."""
+    return np.asarray(ids, dtype="<u4").tobytes()
+
+
+def _plain(word: str) -> bool:
+    return bool(word) and word.isalpha() and max(word) < _LATIN and len(word.lower()) == len(word)
 
 
 class WordIds(dict):
-    """Word to the little-endian 32-bit ids of the word."""
+    """Word to the ids of the word with what leads it in a text (``lead``, a space or nothing).
+
+    A word that begins with a line end is not led by a space. ``marks`` has the ids
+    of rows of marks that end words.
+    """
 
-    def __init__(self, tokenizer, max_words: int, max_chars: int) -> None:
+    def __init__(self, tokenizer, lead: str, folds_case: bool, max_words: int, max_chars: int) -> None:
         super().__init__()
-        self.tokenizer, self.max_words, self.max_chars = tokenizer, max_words, max_chars
+        self.tokenizer, self.lead, self.folds_case = tokenizer, lead, folds_case
+        self.max_words, self.max_chars = max_words, max_chars
+        self.marks: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _base(self, word: str) -> str:
+        """The word without last marks and capitals, where that cannot change its other ids."""
+        stem = word.rstrip(_MARKS)
+        if len(stem) < len(word) and not _plain(stem[-1:]):
+            stem = word
+        return stem.lower() if self.folds_case and stem.isascii() else stem
+
+    def _mark_ids(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = id_bytes(self._encode(marks))
+            if len(marks) <= 4:
+                self.marks[marks] = ids
+        return ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = id_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        base = self._base(word)
+        if base != word:
+            ids = self[base]
+            if len(base) < len(word):
+                ids += self._mark_ids(word[len(base) :])
+        else:
+            ids = id_bytes(self._encode(word if word.startswith("\n") else self.lead + word))
         if len(word) <= self.max_chars:
-            if len(self) >= self.max_words:
-                self.clear()
+            self._make_room(1)
             self[word] = ids
         return ids
 
-
-def id_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
-
-
-def cuts_at_spaces(spec: dict) -> bool:
-    """Whether the tokenizer's own rules cut in front of every single space."""
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if pre.get("type") == "ByteLevel":
-        return norm is None and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-    steps = pre.get("pretokenizers") or [{}]
-    return steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
+    def _make_room(self, n: int) -> None:
+        """Forget the half that was met first."""
+        if len(self) + n > self.max_words:
+            for word in list(islice(self, len(self) // 2)):
+                del self[word]
+
+    def meet(self, words: Iterable[str]) -> None:
+        """Encode the plain words among ``words`` that are not known yet, many in one call."""
+        bases = {self._base(w) for w in set(words).difference(self)}.difference(self)
+        new = [w for w in bases if len(w) <= self.max_chars and _plain(w)]
+        self._make_room(len(new))
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            found = self.tokenizer.encode(" " * bool(self.lead) + " ".join(some), add_special_tokens=False)
+            ids, place = id_bytes(found.ids), np.asarray(found.word_ids)
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(place)]
+            if len(cuts) == len(some) + 1:
+                self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
 
 
 class TextEncoder:
     """Ids of whole texts by a tokenizer file, without added begin or end tokens."""
 
-    def __init__(self, path: str, max_words: int = 300_000, max_chars: int = 48) -> None:
+    def __init__(self, path: str, max_words: int = 1_000_000, max_chars: int = 40) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.by_word = cuts_at_spaces(json.load(file))
-        self.words = WordIds(self.tokenizer, max_words, max_chars)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or _UNEVEN.search(text):
-            return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = text.replace(" ", _MARK + " ").replace("\n", _MARK + "\n" + _MARK).split(_MARK)
-        return b"".join(map(self.words.__getitem__, filter(None, parts)))
-
-    def count(self, text: str | None) -> int:
-        return len(self.encode(text)) // 4
+            spec = json.load(file)
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        steps = pre.get("pretokenizers") or [{}]
+        kinds = {step.get("type") for step in norm.get("normalizers", [])}
+        #: White space is part of the tokens, or it is dropped; other tokenizers get whole texts.
+        self.keeps_space = pre.get("type") == "ByteLevel" and not norm and pre.get("use_regex") and not pre["add_prefix_space"]
+        self.drops_space = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        lead = " " if self.keeps_space else ""
+        self.words = WordIds(self.tokenizer, lead, self.drops_space and "Lowercase" in kinds, max_words, max_chars)
+
+    def _whole(self, text: str) -> bytes:
+        return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _parts(self, text: str | None) -> list[str] | None:
+        """Words of a text; None where the text must be encoded whole."""
+        if not text or _ODD.search(text):
+            return None
+        if self.drops_space:
+            return text.split()
+        if self.keeps_space and not any(pair in text for pair in _PAIRS):
+            return text.replace("\n", " \n").split(" ")
+        return None
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; none for null."""
+        parts = [self._parts(t) for t in texts]
+        self.words.meet(chain.from_iterable(p for p in parts if p))
+        ids = self.words.__getitem__
+        out = []
+        for text, words in zip(texts, parts, strict=True):
+            if words is None:
+                out.append(self._whole(text) if text else b"")
+            elif self.keeps_space:
+                out.append((self._whole(words[0]) if words[0] else b"") + b"".join(map(ids, words[1:])))
+            else:
+                out.append(b"".join(map(ids, words)))
+        return out
 
 
 @cache
