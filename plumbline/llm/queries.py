@@ -57,9 +57,9 @@ def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    learned = labels.where(crc_remainder("doc_id", 5) != 0).join(docs, "doc_id")
+    learned = labels.where(crc_remainder("doc_id", 5) != 0)
     held_out = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    scored = toxicity.score(docs, toxicity.learn(learned))
+    scored = toxicity.score(docs, toxicity.learn(docs, learned))
     return scored.select(
         "doc_id",
         held_out,

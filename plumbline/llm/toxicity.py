@@ -266,25 +266,34 @@ def _probability_line(worst: np.ndarray, labels: np.ndarray) -> tuple[float, flo
     return 6.0, -6.0 * float(cut)
 
 
-def sampled(labelled: DataFrame, n: int, salt: int) -> list[tuple[str, int]]:
-    """At most ``n`` texts of each label, the first by a hash of doc_id: a bounded set for any table size."""
-    key = F.xxhash64(F.lit(salt), "doc_id")
-    slim = labelled.select("doc_id", "text", "toxic", key.alias("_k"))
-    parts = [slim.where(F.col("toxic") == y).orderBy("_k", "doc_id").limit(n) for y in (0, 1)]
-    return [(r["text"], r["toxic"]) for part in parts for r in part.select("text", "toxic").collect()]
+def sampled(docs: DataFrame, labels: DataFrame, n: int, salt: int) -> list[tuple[str, int]]:
+    """Texts and labels of at most ``n`` ids of each label, the first by a hash of the id.
 
-
-def learn(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> ToxicityModel:
-    """Train on labelled texts (doc_id, text, toxic 0 or 1).
-
-    Bounded samples by hash: ``sample`` texts of each label train the machine and
-    ``calibration`` others set the probability. Rows with a null text or label are no
-    examples. Without examples of both labels every score is below 0.5.
+    The ids are chosen among the labels, so the broadcast and the result are as
+    bounded as ``n``, whatever the size of the tables.
+    """
+    keyed = labels.select("doc_id", "toxic", F.xxhash64(F.lit(salt), "doc_id").alias("_k"))
+    parts = [keyed.where(F.col("toxic") == y).orderBy("_k", "doc_id").limit(n) for y in (0, 1)]
+    ids = parts[0].unionByName(parts[1]).select("doc_id", "toxic")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = texts.join(F.broadcast(ids), "doc_id").collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"]))]
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION
+) -> ToxicityModel:
+    """Train on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0 or 1).
+
+    Bounded samples by hash: ``sample`` ids of each label train the machine and
+    ``calibration`` others set the probability. Labels that are null, or whose text is
+    null or missing, are no examples. Without examples of both labels every score is
+    below 0.5.
     """
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).distinct()
     pick = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(3))
-    rows = sampled(known.where(pick != 0), sample, 1)
-    checks = sampled(known.where(pick == 0), calibration, 2)
+    rows = sampled(docs, known.where(pick != 0), sample, 1)
+    checks = sampled(docs, known.where(pick == 0), calibration, 2)
     labels = np.array([y for _, y in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), -1.0, 4.0, 0.0)
