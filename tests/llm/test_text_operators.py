@@ -171,7 +171,8 @@ def test_toxicity(spark):
         texts.append(" ".join(words) + ".")
         labels.append(int(n % 3 == 0))
     rows = [(n, t, y) for n, (t, y) in enumerate(zip(texts, labels, strict=True))] + [(990, None, 1), (991, "x", None)]
-    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(labelled.drop("toxic"), labelled.drop("text"))
     clean = prose(999, 40, "aeilnorst")
     tests = [clean, f"{clean} snarkwits", f"{clean} g-r-u-m-b-o-l-t", f"{clean} s n a r k w i t", f"{clean} grummbolt", None, "", "1 2", f"{prose(5, 20_000, 'aeilnorst')} dulpate"]
     docs = make_docs(spark, tests)
@@ -180,7 +181,7 @@ def test_toxicity(spark):
     got = {r.doc_id: r.toxicity for r in scored.collect()}
     assert [got[n] >= 0.5 for n in range(9)] == [False, True, True, True, True, False, False, False, True]
     assert toxicity.score(docs.limit(0), model).count() == 0
-    none = toxicity.learn(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    none = toxicity.learn(docs, labelled.drop("text").limit(0))
     assert all(r.toxicity < 0.5 for r in toxicity.score(docs, none).collect())
 
 
