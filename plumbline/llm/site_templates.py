@@ -93,15 +93,22 @@ def _is_side(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
+def _hash(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+
 class Page:
     """Blocks of one page in order, and the hashes of its element subtrees.
 
-    ``template`` holds hashes of subtrees to delete. A paragraph, heading or list
-    item of an article is never deleted for recurring by itself: that is quoted text.
+    ``template`` holds hashes of subtrees to delete; None is a page read alone, without
+    knowledge of its host. Outside an article, a text beside elements is a subtree too.
+    A paragraph, heading or list item of an article is never deleted for recurring by
+    itself: that is quoted text.
     """
 
-    def __init__(self, html: str | None, template: frozenset[int] = frozenset()) -> None:
-        self.template = template
+    def __init__(self, html: str | None, template: frozenset[int] | None = None) -> None:
+        self.alone = template is None
+        self.template = template or frozenset()
         self.blocks: list[tuple[str, bool]] = []
         self.hashes: set[int] = set()
         self.has_main = False
@@ -117,7 +124,12 @@ class Page:
         top = self.stack[-1]
         if text:
             top.parts.append(text)
-            if not top.side:
+            recurs = False
+            if not (top.side or top.main or top.tag in PROSE):
+                value = _hash(["", text])
+                self.hashes.add(value)
+                recurs = value in self.template
+            if not (top.side or recurs):
                 self.blocks.append((text, top.main))
 
     def _close(self) -> None:
@@ -129,7 +141,7 @@ class Page:
             return
         if not node.parts:
             return
-        value = xxhash.xxh64_intdigest("\x1f".join([node.tag, *node.parts])) - (1 << 63)
+        value = _hash([node.tag, *node.parts])
         parent.parts.append(f"\x1e{value}")
         if node.tag in ("html", "body", "article", "main") or node.main and node.tag in PROSE:
             return
@@ -202,8 +214,9 @@ class Page:
         self._pop_to(1)
 
     def text(self) -> str:
-        """Blocks of the article, or of the whole page where it names none, one to a line."""
-        return "\n".join(text for text, main in self.blocks if main or not self.has_main)
+        """All blocks that are left, one to a line; of a page read alone, those of its article if it names one."""
+        every = not (self.alone and self.has_main)
+        return "\n".join(text for text, main in self.blocks if main or every)
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -213,14 +226,14 @@ def _keyed(pages: DataFrame) -> DataFrame:
 def subtrees(pages: DataFrame) -> DataFrame:
     """(page_key, host, content, subtrees): hashes of a page's element subtrees.
 
-    ``content`` is a hash of the page's text, so that copies of one page count once.
+    ``content`` is a hash of the page's unmarked text, so that copies of one page count once.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, contents, hashes = [], [], []
             for url, html in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                page = Page(html)
+                page = Page(html, frozenset())
                 hosts.append(host_of(url))
                 contents.append(xxhash.xxh64_intdigest(page.text()) - (1 << 63))
                 hashes.append(sorted(page.hashes))
@@ -245,7 +258,8 @@ def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
 
     Null or empty html gives an empty text; a null url is a host of its own. Repeated
     rows stay repeated. Character references are decoded, white space in a block
-    becomes one space, and blocks are joined by a line end in page order.
+    becomes one space, and blocks are joined by a line end in page order. What has no
+    mark of its own stays unless it recurs on its host, inside an article and outside.
     """
     small_batches(pages.sparkSession)
     found = cut_lineage(subtrees(pages)).select("page_key", "host", "content", F.explode("subtrees").alias("subtree"))

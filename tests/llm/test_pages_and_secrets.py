@@ -55,6 +55,19 @@ def test_site_templates(spark):
     assert site_templates.extract(pages.limit(0)).count() == 0
 
 
+def test_text_outside_article(spark):
+    """Counts per host decide on unmarked blocks beside an article, and on text beside elements."""
+    rows = [
+        (n, f"http://o.example/{n}", f"<body>House line<div>Our house</div><article><p>{prose(n, 5)}</p></article><div><p>{prose(n + 50, 9)}</p></div>loose {n}<div class='ad'>{n}</div>")
+        for n in range(12)
+    ]
+    rows.append((20, "http://p.example", "<article><p>teaser</p></article><p>the story</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in site_templates.extract(pages).collect()}
+    assert all(text[n] == f"{prose(n, 5)}\n{prose(n + 50, 9)}\nloose {n}" for n in range(12))
+    assert text[20] == "teaser\nthe story"
+
+
 def digest(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
