@@ -1,6 +1,6 @@
 """Main text of web pages, with the parts of a site's template removed.
 
-Element subtrees are hashed and counted per host. A subtree that recurs on many
+Element subtrees are hashed and counted per host. A subtree that recurs on most
 pages of a host, whatever else is on those pages, belongs to the site's template
 and is deleted, as are elements whose name, role or class says that they are
 menus, notices, forms and the like.
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, small_batches
 
-#: A subtree on this many different pages of one host is part of the template.
-MANY_PAGES = 10
+#: A subtree on more than this share of the different pages of one host is part of the template ...
+SHARE = 0.5
+#: ... if it is on this many; two pages do not tell a template from a quote.
+LEAST_PAGES = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is not page text at all.
@@ -246,25 +248,32 @@ def subtrees(pages: DataFrame) -> DataFrame:
     return _keyed(pages).select("page_key", "url", "html").mapInArrow(read, schema)
 
 
-def recurring(found: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
-    """(host, subtree) on ``many_pages`` or more pages of one host that differ in their text."""
-    pairs = found.groupBy("host", "subtree", "content").agg(F.lit(1).alias("one"))
-    counts = pairs.groupBy("host", "subtree").agg(F.count("*").alias("n_pages"))
-    return counts.where(F.col("n_pages") >= many_pages).select("host", "subtree")
+def recurring(found: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, subtree) of ``found`` (host, content, subtrees) on most pages of one host.
+
+    Pages are those that differ in their text. A subtree is on more than ``share`` of
+    them, and on ``least_pages`` at least.
+    """
+    hosts = found.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
+    pairs = found.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+    counts = pairs.groupBy("host", "subtree").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
+    known = counts.join(hosts.where(F.col("of_host") >= least_pages), "host")
+    return known.where(F.col("n_pages") > share * F.col("of_host")).select("host", "subtree")
 
 
-def extract(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
+def extract(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text; a null url is a host of its own. Repeated
     rows stay repeated. Character references are decoded, white space in a block
     becomes one space, and blocks are joined by a line end in page order. What has no
-    mark of its own stays unless it recurs on its host, inside an article and outside.
+    mark of its own stays unless it is on most pages of its host, inside an article and outside.
     """
     small_batches(pages.sparkSession)
-    found = cut_lineage(subtrees(pages)).select("page_key", "host", "content", F.explode("subtrees").alias("subtree"))
+    found = cut_lineage(subtrees(pages))
     of_page = (
-        found.join(recurring(found, many_pages), ["host", "subtree"], "left_semi")
+        found.select("page_key", "host", F.explode("subtrees").alias("subtree"))
+        .join(recurring(found, share, least_pages), ["host", "subtree"], "left_semi")
         .groupBy("page_key")
         .agg(F.collect_set("subtree").alias("template"))
     )

@@ -68,6 +68,25 @@ def test_text_outside_article(spark):
     assert text[20] == "teaser\nthe story"
 
 
+def test_share_of_host(spark):
+    """Rows and sentences that recur on a small share of a large host stay; few pages are enough for a template."""
+    def html(n, again):
+        return f"<article><p>{prose(n, 6)}</p>{again}</article>"
+
+    table, menu = "<table><tr><td>Yes</td><td>No</td></tr></table>", "<div>House line</div>"
+    rows = [(n, f"http://large.example/{n}", html(n, (table if n % 4 == 0 else "") + menu)) for n in range(120)]
+    rows += [(200 + n, f"http://plain.example/{n}", f"<p>{prose(n, 6)}</p>" + ("<p>Yes.</p>" if n % 4 == 0 else "")) for n in range(120)]
+    rows += [(400 + n, f"http://few.example/{n}", html(n, menu + ("<div>seen twice</div>" if n < 2 else ""))) for n in range(4)]
+    rows += [(500 + n, f"http://two.example/{n}", html(n, menu)) for n in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in site_templates.extract(pages).collect()}
+    for n in range(120):
+        assert text[n] == prose(n, 6) + ("\nYes\nNo" if n % 4 == 0 else "")
+        assert text[200 + n] == prose(n, 6) + ("\nYes." if n % 4 == 0 else "")
+    assert all(text[400 + n] == prose(n, 6) + ("\nseen twice" if n < 2 else "") for n in range(4))
+    assert all(text[500 + n] == f"{prose(n, 6)}\nHouse line" for n in range(2))
+
+
 def digest(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
