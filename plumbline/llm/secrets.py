@@ -44,6 +44,16 @@ MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 RULES = BASE_RULES + MORE_RULES
+#: What a key header opens: all up to its END line or, without one, lines of base 64. Line ends may be
+#: written as \\n. Possessive, so that long texts take neither deep recursion nor going back.
+_LINE_END, _BASE64 = r"(?:\s|\\[nr])", "[A-Za-z0-9+/=]"
+KEY_BODY = (
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_LINE_END}*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+{_LINE_END}++)*+{_BASE64}{{16,}}+(?:{_LINE_END}++{_BASE64}{{16,}}+)*+"
+    rf"(?:{_LINE_END}++{_BASE64}++(?![^\r\n\\]))?+)?+)"
+)
+#: For masking, a key is secret with its header. ``RULES`` list the header only.
+MASK_RULES = tuple(r._replace(pattern=r.pattern + KEY_BODY) if r.kind == "pem" else r for r in RULES)
 
 
 def _least(query: set[frozenset[str]]) -> Query:
@@ -205,7 +215,7 @@ def masked(text: Column, spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = MASK_RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` masked, and n_chars, if there, counted anew for changed texts."""
     found = scan(docs, rules)
     text = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))
@@ -236,4 +246,4 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["BASE_RULES", "RULES", "Rule", "candidates", "digests", "listed", "masked", "postings", "redact", "scan", "trigram_query"]
+__all__ = ["BASE_RULES", "MASK_RULES", "RULES", "Rule", "candidates", "digests", "listed", "masked", "postings", "redact", "scan", "trigram_query"]

@@ -160,6 +160,30 @@ def test_secrets(spark):
         assert not plain_spans((r.text or "").replace("[SECRET]", "|"))
 
 
+def test_masked_keys(spark):
+    """A private key is masked with its body: up to its END line, or as far as its lines go."""
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "\n".join(["MIIEow+/" * 8] * 30)
+    cases = {
+        f"a\n{head}\n{lines}\nQw==\n{end}\nb": "a\n[SECRET]\nb",
+        f"k = '{head}\\n{'Ab+/' * 16}\\nQw==\\n{end}\\n'": "k = '[SECRET]\\n'",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines}\n{end} b": "[SECRET] b",
+        f"{head}\nDEK-Info: AES-128-CBC,0A1B\n\n{lines}\nQw==\nStory goes on.": "[SECRET]\nStory goes on.",
+        f"{head} {'Ab' * 32} as prose goes on": "[SECRET] as prose goes on",
+        f"{head}\r\n{lines}": "[SECRET]",
+        f"{head}\nprose - and no key.": "[SECRET]\nprose - and no key.",
+        f"{head} x {head}\n{lines}\n{end}": "[SECRET] x [SECRET]",
+        head + "\n" + "Ab+/ \n" * 50_000 + end + "z": "[SECRET]z",
+        (head + "\n") * 5_000 + "z": "[SECRET]\n" * 5_000 + "z",
+        head + "\n" + (("Ab+/" * 16) + "\n") * 20_000 + "the end": "[SECRET]\nthe end",
+    }
+    got = {r.doc_id: r.text for r in secrets.redact(make_docs(spark, list(cases))).collect()}
+    for n, (text, clean) in enumerate(cases.items()):
+        assert got[n] == clean, (text[:80], got[n][:80])
+    pem = next(r for r in secrets.MASK_RULES if r.kind == "pem")
+    assert secrets.trigram_query(pem.pattern) == secrets.trigram_query(next(r for r in secrets.RULES if r.kind == "pem").pattern)
+
+
 def test_trigram_queries():
     """Every match of a pattern holds the trigrams that its query asks for."""
     for rule in secrets.RULES:
