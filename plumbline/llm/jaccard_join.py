@@ -136,8 +136,8 @@ def _blocked(members: DataFrame, block_grams: int) -> DataFrame:
     return spread.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
 
 
-def _compared(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(set_key, links, other): links found in each pair of blocks, and a class linked through them."""
+def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """``members`` with the n-grams of each: one row for a class, however many rows of ``docs`` repeat it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +148,13 @@ def _compared(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
 
     firsts = members.select(F.col("doc_id").alias("first_id"))
     texts = docs.select("doc_id", "text").join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = texts.mapInArrow(read, "set_key binary, grams binary").join(members.drop("doc_id"), "set_key")
+    once = texts.mapInArrow(read, "set_key binary, grams binary").dropDuplicates(["set_key"])
+    return once.join(members.drop("doc_id"), "set_key")
+
+
+def _compared(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(set_key, links, other): links found in each pair of blocks, and a class linked through them."""
+    sets = _sets(docs, members, n)
     mine, one = F.col("block"), F.lit(1)
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - one),
@@ -157,7 +163,6 @@ def _compared(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
     dealt = sets.select("set_key", "grams", "group", "block", F.explode(pairs).alias("pair"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("set_key")
         grams = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
         apart = frame["low"].iat[0] != frame["high"].iat[0]
         links, root = compare_blocks(grams, frame["block"].to_numpy() if apart else None, threshold)

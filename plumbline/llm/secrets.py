@@ -45,7 +45,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 #: What a key header opens: all up to its END line or, without one, lines of base 64. Line ends may be
-#: written as \\n. Possessive, so that long texts take neither deep recursion nor going back.
+#: written as \n. Possessive, so that long texts take neither deep recursion nor going back.
 _LINE_END, _BASE64 = r"(?:\s|\\[nr])", "[A-Za-z0-9+/=]"
 KEY_BODY = (
     r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"

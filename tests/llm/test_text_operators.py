@@ -94,6 +94,25 @@ def test_jaccard_join_edges(spark):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and bands * rows <= jaccard_join.MAX_HASHES
 
 
+def test_one_set_for_repeated_rows(spark):
+    """A class sends its n-grams once, however many rows of its first doc_id there are, or of no doc_id."""
+    text, other = prose(1, 60), prose(2, 60)
+    rows = [(1, text)] * 30 + [(2, text + " end")] + [(None, other)] * 20 + [(4, other + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {}
+    for t in {t for _, t in rows}:
+        grams = shingle_set(t, jaccard_join.NGRAM)
+        keys[t] = bytearray(jaccard_join.xxhash.xxh3_128_digest(grams.tobytes()))
+    members = spark.createDataFrame(
+        [(keys[text], 1, 1, 0, 1), (keys[text + " end"], 2, 1, 0, 1), (keys[other], None, 2, 0, 1), (keys[other + " end"], 4, 2, 0, 1)],
+        "set_key binary, doc_id long, group long, block int, blocks int",
+    )
+    sets = jaccard_join._sets(docs, members, jaccard_join.NGRAM).collect()
+    assert sorted(r.set_key for r in sets) == sorted(keys.values())
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard_join.jaccard_join(docs).collect())
+    assert got == Counter({(1, 1, 1, 29): 30, (2, 1, 1, 0): 1, (None, 4, 1, 19): 20, (4, 4, 1, 0): 1})
+
+
 def test_components(spark):
     pick = random.Random(1)
     edges = [(n, n + 1) for n in range(40)] + [(100, 100 + n) for n in range(1, 30)] + [(pick.randint(200, 260), pick.randint(200, 260)) for _ in range(40)]
