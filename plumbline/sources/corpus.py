@@ -11,6 +11,9 @@ from plumbline.sources.lines import numbered_lines
 WHOLE_FILE_TYPES = ["txt", "md", "rst", "html", "json"]
 LINE_FILE_TYPE = "jsonl"
 LINE_FILES = "*.[jJ][sS][oO][nN][lL]"
+COMPRESSED = "{,.[gG][zZ],.bz2,.deflate,.lz4,.snappy,.zst}"
+DOCUMENT_LINES = f"*.{{[jJ][sS][oO][nN][lL],[nN][dD][jJ][sS][oO][nN]}}{COMPRESSED}"
+DOCUMENT_FILES = f"*.[jJ][sS][oO][nN]{COMPRESSED}"
 # -----------------------------------------------------------------------------
 
 REPLACEMENT = "\ufffd"  # what Spark puts in the place of undecodable bytes
@@ -99,13 +102,20 @@ def read_corpus_strict(spark: SparkSession, path: str, root: str | None = None)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Retriever documents ``{content, metadata, id}``: one per line in ``.jsonl`` files,
-    arrays or objects in ``.json`` files, from a file or a folder with both."""
+    """Retriever documents ``{content, metadata, id}``: one per line in ``.jsonl`` and
+    ``.ndjson`` files, arrays or objects in ``.json`` files, from a file or a folder with
+    both, also compressed. Other files of a folder are passed over; a path that gives
+    only such files is an error."""
 
     def rows(kind: str, whole: bool) -> DataFrame:
         reader = spark.read.option("pathGlobFilter", kind).option("multiLine", whole)
         return reader.schema("id STRING, content STRING, metadata MAP<STRING, STRING>").json(path)
 
-    return rows(LINE_FILES, False).unionByName(rows("*.[jJ][sS][oO][nN]", True)).select(
+    found = spark.read.format("binaryFile").load(path).select("path")
+    names = [r["path"].rsplit("/", 1)[-1] for r in found.take(1)]
+    taken = spark.read.format("binaryFile").option("pathGlobFilter", f"{{{DOCUMENT_LINES},{DOCUMENT_FILES}}}").load(path)
+    if names and taken.select("path").isEmpty():
+        raise CorpusError(f"neither JSON lines nor JSON files, e.g. {names[0]}")
+    return rows(DOCUMENT_LINES, False).unionByName(rows(DOCUMENT_FILES, True)).select(
         F.col("id").alias("doc_id"), F.coalesce("content", F.lit("")).alias("content"), "metadata"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pytest
 
 from plumbline.sources import corpus as cs
@@ -37,6 +39,19 @@ def test_rejected_lines_keep_their_numbers(spark, tmp_path, small_splits):
     assert sorted(r.line for r in bad.collect()) == list(range(100, 1001, 100))
 
 
+def test_documents_of_other_endings(spark, tmp_path):
+    lines, whole = '{"id": "1", "content": "x"}\n{"id": "2", "content": "y"}\n', '[{"id": "3", "content": "z"},\n {"id": "4"}]'
+    (tmp_path / "a.ndjson").write_text(lines)
+    (tmp_path / "b.jsonl.gz").write_bytes(gzip.compress(lines.encode()))
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(whole.encode()))
+    for name, ids in (("a.ndjson", ["1", "2"]), ("b.jsonl.gz", ["1", "2"]), ("c.json.gz", ["3", "4"])):
+        assert sorted(r.doc_id for r in cs.read_documents(spark, str(tmp_path / name)).collect()) == ids
+    assert cs.read_documents(spark, str(tmp_path)).count() == 6
+    (tmp_path / "d.txt").write_text(lines)
+    with pytest.raises(cs.CorpusError):
+        cs.read_documents(spark, str(tmp_path / "d.txt"))
+
+
 def test_documents_of_a_folder(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "content": "x"}\n{"id": "2", "content": "y"}\n{"id": "3"}\n')
     (tmp_path / "b.json").write_text('[{"id": "4", "content": "z"},\n {"id": "5", "metadata": {"k": "v"}}]')
