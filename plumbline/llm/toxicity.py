@@ -269,14 +269,16 @@ def _probability_line(worst: np.ndarray, labels: np.ndarray) -> tuple[float, flo
 def sampled(docs: DataFrame, labels: DataFrame, n: int, salt: int) -> list[tuple[str, int]]:
     """Texts and labels of at most ``n`` ids of each label, the first by a hash of the id.
 
-    The ids are chosen among the labels, so the broadcast and the result are as
-    bounded as ``n``, whatever the size of the tables.
+    The ids are chosen among the labels, and repeated rows of an id give one text, the
+    smallest, so the broadcast and the result are as bounded as ``n``, whatever the size
+    of the tables.
     """
     keyed = labels.select("doc_id", "toxic", F.xxhash64(F.lit(salt), "doc_id").alias("_k"))
     parts = [keyed.where(F.col("toxic") == y).orderBy("_k", "doc_id").limit(n) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select("doc_id", "toxic")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = one.collect()
     return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["toxic"], r["text"]))]
 
 

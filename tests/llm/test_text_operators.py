@@ -204,6 +204,12 @@ def test_toxicity(spark):
     assert all(r.toxicity < 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_sample_has_one_text_per_id(spark):
+    docs = spark.createDataFrame([(1, "copy")] * 50 + [(1, "other")] * 3 + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.sampled(docs, labels, 5, 1) == [("copy", 1), ("b", 0)]
+
+
 def test_kernel_features():
     """The explicit features give the kernel of the definition, but for a sequence that one string holds twice."""
     from itertools import combinations
