@@ -206,7 +206,7 @@ def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     mapped = ds.map_fields(raw)
     return mapped.select(
-        F.get_json_object("metadata", "$.source_row").cast("bigint").alias("source_row"),
+        F.get_json_object("metadata", "$.source_row").alias("source_row"),
         "question",
         "ground_truth",
         "context",
