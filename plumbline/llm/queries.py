@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, jaccard_join, language_id, learned_ann, secrets, site_templates, toxicity, warc
+from plumbline.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    learned_ann,
+    merkle_manifest,
+    secrets,
+    site_templates,
+    toxicity,
+    warc,
+)
 from plumbline.llm.common import crc_remainder, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import count_tokens
@@ -79,6 +89,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.assemble(warc.read_records(spark, archives)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of the untampered documents, folded with the leaves of the tampered ones."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(crc_remainder("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select(
+        "doc_id",
+        "source",
+        merkle_manifest.leaf_digest(*others, F.col("text")).alias("leaf"),
+        merkle_manifest.leaf_digest(*others, changed).alias("told"),
+    )
+    made = merkle_manifest.manifest(leaves, F.col("leaf"), F.col("source"), [F.col("doc_id")])
+    folded = merkle_manifest.folded_root(F.col("row.told"), F.col("path"))
+    proved = made.select("row.doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_learned_ann": op2_learned_ann,
@@ -90,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
