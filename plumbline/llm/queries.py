@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     decontamination,
+    fingerprints,
     jaccard_join,
     language_id,
     learned_ann,
@@ -89,6 +90,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.assemble(warc.read_records(spark, archives)))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.successors(docs, fingerprints.rarity(fingerprints.entropy_counts(docs)))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of the untampered documents, folded with the leaves of the tampered ones."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -117,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op12_fingerprints": op12_fingerprints,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
