@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
+    conversation_repair,
     decontamination,
     fingerprints,
     jaccard_join,
@@ -90,6 +91,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.assemble(warc.read_records(spark, archives)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repaired(rows, conversation_repair.Repair(conversation_repair.damage(rows)))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.successors(docs, fingerprints.rarity(fingerprints.entropy_counts(docs)))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_fingerprints": op12_fingerprints,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
