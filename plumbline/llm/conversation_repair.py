@@ -215,7 +215,8 @@ def damage(rows: DataFrame) -> DataFrame:
     return told.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
 
 
-#: Rows of a conversation ascend by these: turn, then role and text, which tell rows of one turn apart.
+#: Rows of a conversation ascend by these: turn (null first); rows of one turn by the beginnings of role and
+#: text, and by a digest of both where these are equal. Rows that are equal in all are copies of one row.
 ORDER = ["conv_id", "turn", "role_head", "head", "digest"]
 
 

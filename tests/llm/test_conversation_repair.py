@@ -27,7 +27,7 @@ def damaged(rows):
 
 
 def cheapest(rows):
-    """(cost, audit, repaired rows) with every cheapest way kept for each state; rows are (role, text, fault)."""
+    """(cost, audit, repaired rows) with all cheapest ways that may come first; rows are (role, text, fault)."""
 
     def better(ways, state, cost, audit, out):
         if state not in ways or cost < ways[state][0]:
@@ -59,18 +59,27 @@ def cheapest(rows):
                     if (state, to) in STEP:
                         better(following, STEP[state, to], more + 2, audit + "R", (*out, (name, text)))
         ways = with_inserts(following)
+        for state, (least, audits) in ways.items():
+            # An audit that differs from a smaller one before that one ends stays larger whatever follows.
+            ways[state] = (least, {a: o for a, o in audits.items() if a.startswith(min(audits))})
     cost = min(ways[s][0] for s in ("", "a") if s in ways)
     audits = {a: o for s in ("", "a") if s in ways and ways[s][0] == cost for a, o in ways[s][1].items()}
     return cost, min(audits), audits[min(audits)]
 
 
+def place(row):
+    """Rows of one turn go by the beginnings of role and text, then by a digest."""
+    there, turn, role, text = row
+    return there, turn, role[:64], text[:64], hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+
+
 def plain(rows):
     kept = defaultdict(list)
     for conv, turn, role, text in damaged(rows):
         kept[conv].append((turn is not None, turn or 0, role, text))
     found = Counter()
     for conv in {r[0] for r in rows}:
-        own, seen, faults = sorted(kept[conv]), set(), []
+        own, seen, faults = sorted(kept[conv], key=place), set(), []
         for _, _, role, text in own:
             solid = text.rstrip(" \t\n\x0b\x0c\r")
             faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "ok" if solid[-1] in ".!?" else "truncated")
