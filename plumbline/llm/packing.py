@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut_lineage, small_batches
-from plumbline.llm.token_text import encoder, id_bytes
+from plumbline.llm.token_text import encoder, id_bytes, together
 
 CAPACITY = 4096
 END_ID = 2
@@ -135,7 +135,7 @@ def cut_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(tokenizer_path), id_bytes([end_id])
         kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-        for batch in batches:
+        for batch in together(batches):
             rows = []
             coded = tokens.encode_all(batch["text"].to_pylist())
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), coded, strict=True):

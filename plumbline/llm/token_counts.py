@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import small_batches
-from plumbline.llm.token_text import encoder, tokenizer_version
+from plumbline.llm.token_text import encoder, together, tokenizer_version
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -45,10 +45,10 @@ def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in together(batches):
             coded = tokens.encode_all(batch["text"].to_pylist())
             n_tokens = pa.array([len(ids) // 4 for ids in coded], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["digest"], n_tokens], ["digest", "n_tokens"])
+            yield from pa.table({"digest": batch["digest"], "n_tokens": n_tokens}).to_batches()
 
     return texts.select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
 

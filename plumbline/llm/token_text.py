@@ -14,11 +14,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space, to one of the libraries at least, other than space and line end.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -27,8 +30,8 @@ _PAIRS = ("  ", " \n", "\n ", "\n\n")
 _MARKS = ".,;:!?*#$%&()"
 #: Letters below this are letters in every version of the character tables.
 _LATIN = "ɐ"
-#: Plain words that are encoded in one call.
-_TOGETHER = 256
+#: Characters of the texts that are worked on together.
+_PIECE = 8_000_000
 
 
 def id_bytes(ids) -> bytes:
@@ -37,7 +40,17 @@ def id_bytes(ids) -> bytes:
 
 
 def _plain(word: str) -> bool:
-    return bool(word) and word.isalpha() and max(word) < _LATIN and len(word.lower()) == len(word)
+    return word.isalpha() and (word.isascii() or (max(word) < _LATIN and len(word.lower()) == len(word)))
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary, as a table for ``translate``.
+
+    Bytes that are visible in Latin-1 stand for themselves, the others for the letters from 256 on.
+    """
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: b for b in seen} | {b: 256 + n for n, b in enumerate(hidden)}
 
 
 class WordIds(dict):
@@ -52,18 +65,21 @@ class WordIds(dict):
         self.tokenizer, self.lead, self.folds_case = tokenizer, lead, folds_case
         self.max_words, self.max_chars = max_words, max_chars
         self.marks: dict[str, bytes] = {}
+        self.model, self.letters = tokenizer.model, byte_letters()
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _base(self, word: str) -> str:
         """The word without last marks and capitals, where that cannot change its other ids."""
-        stem = word.rstrip(_MARKS)
+        stem = word if word.isalpha() else word.rstrip(_MARKS)
         if len(stem) < len(word) and not _plain(stem[-1:]):
             stem = word
-        return stem.lower() if self.folds_case and stem.isascii() else stem
+        return stem.lower() if self.folds_case and (stem.isascii() or _plain(stem)) else stem
 
     def _mark_ids(self, marks: str) -> bytes:
+        if not marks:
+            return b""
         ids = self.marks.get(marks)
         if ids is None:
             ids = id_bytes(self._encode(marks))
@@ -74,9 +90,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         base = self._base(word)
         if base != word:
-            ids = self[base]
-            if len(base) < len(word):
-                ids += self._mark_ids(word[len(base) :])
+            ids = self[base] + self._mark_ids(word[len(base) :])
         else:
             ids = id_bytes(self._encode(word if word.startswith("\n") else self.lead + word))
         if len(word) <= self.max_chars:
@@ -91,17 +105,24 @@ class WordIds(dict):
                 del self[word]
 
     def meet(self, words: Iterable[str]) -> None:
-        """Encode the plain words among ``words`` that are not known yet, many in one call."""
-        bases = {self._base(w) for w in set(words).difference(self)}.difference(self)
-        new = [w for w in bases if len(w) <= self.max_chars and _plain(w)]
-        self._make_room(len(new))
-        for at in range(0, len(new), _TOGETHER):
-            some = new[at : at + _TOGETHER]
-            found = self.tokenizer.encode(" " * bool(self.lead) + " ".join(some), add_special_tokens=False)
-            ids, place = id_bytes(found.ids), np.asarray(found.word_ids)
-            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1), len(place)]
-            if len(cuts) == len(some) + 1:
-                self.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+        """Learn the plain words among ``words`` that are not known yet, and their forms with marks and capitals.
+
+        Neither the normaliser nor the split of the tokenizer changes a plain word, so its
+        model and its byte alphabet alone give the ids.
+        """
+        forms = [(w, self._base(w)) for w in words if w not in self]
+        new = [
+            w for w in dict.fromkeys(base for _, base in forms)
+            if w not in self and len(w) <= self.max_chars and _plain(w) and (not self.folds_case or w == w.lower())
+        ]
+        self._make_room(len(forms) + len(new))
+        told = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[10])) if new else []
+        lead, tokenize = "".join(chr(self.letters[ord(c)]) for c in self.lead), self.model.tokenize
+        for word, letters in zip(new, told, strict=True):
+            self[word] = array("I", [t.id for t in tokenize(lead + letters)]).tobytes()
+        for word, base in forms:
+            if word != base and base in self and len(word) <= self.max_chars:
+                self[word] = self[base] + self._mark_ids(word[len(base) :])
 
 
 class TextEncoder:
@@ -127,30 +148,68 @@ class TextEncoder:
     def _whole(self, text: str) -> bytes:
         return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _parts(self, text: str | None) -> list[str] | None:
-        """Words of a text; None where the text must be encoded whole."""
+    def _spaced(self, text: str | None) -> str | None:
+        """A text whose words stand between single spaces; None where the text must be encoded whole."""
         if not text or _ODD.search(text):
             return None
         if self.drops_space:
-            return text.split()
+            return text.replace("\n", " ")
         if self.keeps_space and not any(pair in text for pair in _PAIRS):
-            return text.replace("\n", " \n").split(" ")
+            return text.replace("\n", " \n")
         return None
 
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of spaced texts: each different word is looked up once, and its ids are taken for all its places."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+        different, places = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        self.words.meet(different)
+        ids = [self.words[w] if w or self.keeps_space else b"" for w in different]
+        if self.keeps_space:
+            # No space stands in front of the first word of a text.
+            first = {w: n for n, w in enumerate({different[p] for p in places[starts[:-1]]})}
+            places[starts[:-1]] = [len(ids) + first[different[p]] for p in places[starts[:-1]]]
+            ids += [self._whole(w) if w else b"" for w in first]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(length) - length
+        n = length[places]
+        ends = np.cumsum(n)
+        out = table[np.repeat(begin[places] - ends + n, n) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[starts]
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; none for null."""
-        parts = [self._parts(t) for t in texts]
-        self.words.meet(chain.from_iterable(p for p in parts if p))
-        ids = self.words.__getitem__
-        out = []
-        for text, words in zip(texts, parts, strict=True):
-            if words is None:
-                out.append(self._whole(text) if text else b"")
-            elif self.keeps_space:
-                out.append((self._whole(words[0]) if words[0] else b"") + b"".join(map(ids, words[1:])))
-            else:
-                out.append(b"".join(map(ids, words)))
-        return out
+        """Little-endian 32-bit ids of each text; none for null. A text is encoded once, however often it comes."""
+        found: dict[str | None, bytes] = {None: b"", "": b""}
+        group, held = {}, 0
+        for text in texts:
+            if text in found or text in group:
+                continue
+            spaced = self._spaced(text)
+            if spaced is None:
+                found[text] = self._whole(text)
+                continue
+            group[text] = spaced
+            held += len(spaced)
+            if held >= _PIECE:
+                found.update(zip(group, self._by_words(list(group.values())), strict=True))
+                group, held = {}, 0
+        if group:
+            found.update(zip(group, self._by_words(list(group.values())), strict=True))
+        return [found[t] for t in texts]
+
+
+def together(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
+    """Neighbouring batches as one table, as far as the texts together are no longer than some words' worth of memory."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[column].nbytes
+        if size >= _PIECE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 @cache
