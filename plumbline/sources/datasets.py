@@ -8,12 +8,16 @@ whole when any row is bad.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import strip, text_or_empty
 from plumbline.sources.lines import numbered_lines
+from plumbline.sources.ranges import csv_records, json_elements
 
 # --- fixed values: field names tried in order, page question, shuffle seed ---
 QUESTION_FIELDS = ["question", "query", "input", "prompt"]
@@ -45,12 +49,38 @@ class DatasetError(ValueError):
         self.rejected = rejected
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold an array of items, or an object with the list ``items``."""
+def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files that hold an array of items, or an object with the list ``items``.
+
+    Files are read by ranges, so they may be of any size. An object that is one item, or
+    whose ``items`` are short, is read whole. Anything but an object in an array, and
+    broken JSON, fails the load.
+    """
+    elements, others = json_elements(spark, path)
+    item = F.from_json("value", ITEM_SCHEMA, {"mode": "FAILFAST"})
+    items = elements.select(item.alias("item")).select("item.*")
+    if not others:
+        return items
     whole = T.StructType([*ITEM_SCHEMA.fields, T.StructField("items", T.ArrayType(ITEM_SCHEMA))])
-    rows = spark.read.schema(whole).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(whole).option("multiLine", True).option("mode", "FAILFAST").json(others)
     single = F.array(F.struct(*[F.col(f.name) for f in ITEM_SCHEMA.fields]))
-    return rows.select(F.inline(F.coalesce("items", single)))
+    return items.unionByName(rows.select(F.inline(F.coalesce("items", single))))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Each partition as one file that holds a JSON array of its rows, written as they come."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            rows = batch["value"].to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [lead + ",\n".join(rows)]})
+                lead = ",\n"
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if lead == "[" else "]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    rows.mapInArrow(listed, "value string").write.option("lineSep", "\n").text(path)
 
 
 def _line_values() -> Column:
@@ -95,10 +125,16 @@ def csv_metadata(c: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a header with question and optionally ground_truth, context and metadata."""
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+    """S3: a header with question and optionally ground_truth, context and metadata.
+
+    Files are read by ranges, so they may be of any size; fields go by their place, named
+    by the header of the first file.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    names = spark.read.options(**options).csv(path).columns
+    schema = ", ".join("`" + name.replace("`", "``") + "` string" for name in names)
+    parsed = F.from_csv("value", schema, {"escape": '"'})
+    raw = csv_records(spark, path).select(parsed.alias("r")).select("r.*")
     have = set(raw.columns)
 
     def field(name: str) -> Column:
