@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +32,14 @@ def build_session(app: str = "plumbline", cpus: int | str = "*", **conf: str) ->
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session names in ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 

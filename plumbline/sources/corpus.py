@@ -44,6 +44,13 @@ def _readable(column: str) -> Column:
     return F.when(F.is_valid_utf8(column), F.col(column)).otherwise(cleaned)
 
 
+def _below(name: str, root: str) -> Column:
+    """A path from behind the first ``root`` on; a path without it stays."""
+    folder = root.strip("/") + "/"
+    at = F.instr(F.col(name), folder)
+    return F.when(at > 0, F.substr(F.col(name), at + len(folder))).otherwise(F.col(name))
+
+
 def read_corpus(
     spark: SparkSession, path: str, max_documents: int | None = None, root: str | None = None
 ) -> DataFrame:
@@ -84,7 +91,7 @@ def read_corpus(
     )
     docs = whole.unionByName(lines)
     if root:
-        docs = docs.withColumn("doc_id", F.regexp_replace("doc_id", f"^.*?{root.strip('/')}/", ""))
+        docs = docs.withColumn("doc_id", _below("doc_id", root))
     return docs if max_documents is None else docs.orderBy("doc_id").limit(max_documents)
 
 
@@ -97,7 +104,7 @@ def read_corpus_strict(spark: SparkSession, path: str, root: str | None = None)
         raise CorpusError(f"not readable as UTF-8: {', '.join(names)}")
     doc_id = F.col("doc_id")
     if root:
-        doc_id = F.regexp_replace(doc_id, f"^.*?{root.strip('/')}/", "")
+        doc_id = _below("doc_id", root)
     return files.where(F.col("content").rlike(r"(?U)\S")).select(doc_id.alias("doc_id"), "content")
 
 

@@ -157,6 +157,10 @@ def test_corpus_files(spark, tmp_path):
     assert sorted(docs) == ["a.TXT", "sub/log.jsonl:L1", "sub/log.jsonl:L4"]
     assert docs["a.TXT"]["content"] == "café  ok" and docs["a.TXT"]["metadata"]["extension"] == ".TXT"
     assert docs["sub/log.jsonl:L4"]["metadata"]["line_number"] == "4"
+    (tmp_path / "v1+x").mkdir()
+    (tmp_path / "v1+x" / "b.txt").write_text("b")
+    assert [r["doc_id"] for r in cs.read_corpus(spark, str(tmp_path / "v1+x"), root="v1+x").collect()] == ["b.txt"]
+    (tmp_path / "v1+x" / "b.txt").unlink()
     assert cs.read_corpus(spark, str(tmp_path), max_documents=1).count() == 1
     with pytest.raises(cs.CorpusError):
         cs.read_corpus_strict(spark, str(tmp_path))
