@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import list_of, minmax
 from plumbline.functions.text import split_words, words
+from plumbline.operators import inverted_index as ix
 from plumbline.operators.numbering import number_rows
 from plumbline.session import cut_lineage
 
@@ -235,21 +236,70 @@ def _unscored(
     return _best(empty.select("query_id", "doc_id", F.lit(0.0).alias("raw")), k).drop("rank")
 
 
+def _postings(docs: DataFrame, weights: DataFrame, stats: CorpusStats, tokenizer: str) -> DataFrame:
+    """(doc_id, term, part) of the terms that ``weights`` asks for."""
+    counted = _matched_tokens(docs, weights, tokenizer).groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
+    )
+    return counted.select("doc_id", "term", ix.part_of(F.col("tf"), F.col("dl"), stats.avg_len, K1, B).alias("part"))
+
+
+def bm25_index(queries: DataFrame, docs: DataFrame, stats: CorpusStats, tokenizer: str = "whitespace") -> ix.InvertedIndex:
+    """Index of the terms that ``queries`` name; it serves any queries of these terms."""
+    weights = _query_weights(queries, stats, tokenizer)
+    return ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs)
+
+
 def bm25_topk(
     queries: DataFrame,
     docs: DataFrame,
     k: int = 5,
     tokenizer: str = "whitespace",
     stats: CorpusStats | None = None,
+    index: ix.InvertedIndex | None = None,
 ) -> DataFrame:
     """(query_id, rank, doc_id, raw, score) for ``queries(query_id, text)`` over
     ``docs(doc_id, content)``.
 
     ``score`` is min-max normalised over all documents, unmatched ones (raw 0)
-    included, without listing them. ``stats`` can be computed once and reused.
+    included, without listing them. ``stats`` and ``index`` can be made once and
+    reused. The search skips blocks of postings that cannot reach the top. Corpora of
+    so few documents that words have negative weights, and queries that match every
+    document, take the dense way, which sees the least score too.
     """
     check_k(k)
     stats = stats or corpus_stats(docs, tokenizer)
+    if stats.mean_idf < 0 or not stats.n_docs:
+        return _dense_topk(queries, docs, k, stats, tokenizer)
+    weights = cut_lineage(_query_weights(queries, stats, tokenizer).where(F.col("weight") > 0))
+    index = index or ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs)
+    sure = cut_lineage(ix.with_unmatched(queries, weights, index))
+    found = _sparse_topk(sure, docs, k, stats, weights.join(sure.select("query_id"), "query_id", "left_semi"), index)
+    if sure.count() == queries.count():
+        return found
+    rest = queries.join(sure.select("query_id"), "query_id", "left_anti")
+    return found.unionByName(_dense_topk(rest, docs, k, stats, tokenizer))
+
+
+def _sparse_topk(
+    queries: DataFrame, docs: DataFrame, k: int, stats: CorpusStats, weights: DataFrame, index: ix.InvertedIndex
+) -> DataFrame:
+    """For queries that leave some document without a score, so that the least score is 0."""
+    top = cut_lineage(ix.top(weights, index, k).where(F.col("raw") > 0))
+    hits = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scored"), F.max("raw").alias("hi"))
+    known = queries.select("query_id").join(hits, "query_id", "left").na.fill(0, ["n_scored"]).na.fill(0.0, ["hi"])
+    needy = known.where(F.col("n_scored") < k).select("query_id", "n_scored")
+    filled = top.unionByName(_unscored(needy, docs, top.select("query_id", "doc_id"), k, stats))
+    scale = F.when(F.col("hi") == 0, F.lit(1.0)).otherwise(F.col("raw") / F.col("hi"))
+    return (
+        _best(filled, k)
+        .join(known.select("query_id", "hi"), "query_id")
+        .select("query_id", "rank", "doc_id", "raw", scale.alias("score"))
+    )
+
+
+def _dense_topk(queries: DataFrame, docs: DataFrame, k: int, stats: CorpusStats, tokenizer: str) -> DataFrame:
+    """Scores of all documents, block by block."""
     # Few rows (k per query and block), read three times below.
     found = cut_lineage(_top_and_spread(queries, docs, k, stats, tokenizer))
     spread = found.where(F.col("doc_id").isNull()).groupBy("query_id").agg(
@@ -296,7 +346,11 @@ def bm25_hits(
     """Only documents that match, scores min-max normalised over the hits returned."""
     check_k(k)
     stats = stats or corpus_stats(docs, tokenizer)
-    found = _top_and_spread(queries, docs, k, stats, tokenizer)
+    if stats.mean_idf < 0 or not stats.n_docs:
+        found = _top_and_spread(queries, docs, k, stats, tokenizer)
+    else:
+        weights = cut_lineage(_query_weights(queries, stats, tokenizer).where(F.col("weight") > 0))
+        found = ix.top(weights, ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs), k)
     best = found.where(F.col("raw") > 0).select("query_id", "doc_id", "raw")
     hits = _best(best, k)
     return hits.withColumn("score", minmax(F.col("raw"), list_of("query_id")))
