@@ -20,7 +20,6 @@ from plumbline.operators.ranking import check_k
 BLOCK_ROWS = 2048
 SLICE_ROWS = 512  # queries of a block that are scored at a time
 LEAST_ROWS = 256  # smaller blocks are not worth a task
-PAIR_BLOCK_ROWS = 2048  # a block pair of near copies may return every cell
 
 
 def _dot(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,42 +131,3 @@ def topk_vectors(
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "doc_id", "score")
     )
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = PAIR_BLOCK_ROWS) -> DataFrame:
-    """Every pair (a, b, similarity) with a < b and cosine at or above ``threshold``.
-
-    Exact: each unordered pair of blocks is one product. ``vectors(id, v)`` should
-    hold distinct vectors; see ``duplicate_vectors`` for the collapse of copies.
-    """
-    blocks = block_count(vectors, block_rows)
-    own = block_of("id", blocks)
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sent = vectors.select("id", "v", own.alias("own"), other.alias("other")).select(
-        "id",
-        "v",
-        "own",
-        F.least("own", "other").alias("lo"),
-        F.greatest("own", "other").alias("hi"),
-    )
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(block["lo"].iloc[0]), int(block["hi"].iloc[0])
-        left = block[block["own"] == lo]
-        right = block[block["own"] == hi]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["a", "b", "similarity"])
-        sims, _ = _cosine(_matrix(left["v"]), _matrix(right["v"]))
-        rows, cols = np.nonzero(sims >= threshold)
-        x = left["id"].to_numpy()[rows]
-        y = right["id"].to_numpy()[cols]
-        keep = x < y if lo == hi else np.ones(len(x), dtype=bool)
-        return pd.DataFrame(
-            {
-                "a": np.minimum(x, y)[keep],
-                "b": np.maximum(x, y)[keep],
-                "similarity": sims[rows, cols][keep],
-            }
-        )
-
-    return sent.groupBy("lo", "hi").applyInPandas(pairs, "a long, b long, similarity double")

@@ -11,6 +11,7 @@ from plumbline.operators import audit as au
 from plumbline.operators import contradictions as co
 from plumbline.operators import coverage as cv
 from plumbline.operators import duplicates as du
+from plumbline.operators import metric_join
 from plumbline.operators import staleness as st
 
 AS_OF = "2024-01-01 00:00:00"
@@ -55,12 +56,14 @@ def test_duplicate_texts_equal_brute_force(spark, threshold):
 
 
 @pytest.mark.parametrize("block_rows", [5, 1000])
-def test_duplicate_vectors_equal_brute_force(spark, block_rows):
+def test_duplicate_vectors_equal_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(metric_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(metric_join, "CELL_ROWS", block_rows)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(6, 4))
     vecs = [base[i % 6] + rng.normal(size=4) * 0.2 * (i % 3) for i in range(30)] + [np.zeros(4)] * 2
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, v array<double>")
-    got = du.duplicate_vectors(df, 0.92, block_rows).collect()
+    got = du.duplicate_vectors(df, 0.92).collect()
 
     def cos(a, b):
         n = np.linalg.norm(a) * np.linalg.norm(b)
