@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.qa_text import parse_qa
 from plumbline.functions.text import chunks, text_or_empty
-from plumbline.operators.numbering import number_rows
+from plumbline.operators.selection import place_of
+from plumbline.session import cut_lineage
 
 # --- fixed values: test types and defaults -----------------------------------
 STANDARD = "standard"
@@ -43,19 +44,18 @@ def chunk_quotas(chunked: DataFrame, count: int) -> DataFrame:
     """Y2: add ``n_questions``: an equal share per chunk, at least 1, the remainder one
     each to the first chunks in document order.
 
-    Only keys are numbered, to find the last chunk with a larger share; the texts stay
-    where they are.
+    The last chunk with a larger share is found by counting keys; the texts stay where
+    they are.
     """
-    n = chunked.count()
+    order = ["doc_id", "chunk_idx"]
+    keys = cut_lineage(chunked.select(*order))
+    n = keys.count()
     share = max(1, count // n) if n else 1
     rest = count - share * n
     if rest <= 0:
         return chunked.withColumn("n_questions", F.lit(share).cast("bigint"))
-    keys = number_rows(chunked.select("doc_id", "chunk_idx"), "doc_id", "chunk_idx", name="_no")
-    last = keys.where(F.col("_no") == rest - 1).first()
-    favoured = (F.col("doc_id") < last["doc_id"]) | (
-        (F.col("doc_id") == last["doc_id"]) & (F.col("chunk_idx") <= last["chunk_idx"])
-    )
+    last = place_of(keys, order, rest - 1)
+    favoured = last.below(order) | last.same(order)
     return chunked.withColumn("n_questions", F.lit(share).cast("bigint") + favoured.cast("bigint"))
 
 

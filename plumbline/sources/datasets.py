@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import strip, text_or_empty
+from plumbline.operators.selection import first_rows
 from plumbline.sources.lines import numbered_lines
 from plumbline.sources.ranges import csv_records, json_elements
 
@@ -245,8 +246,9 @@ def has_ground_truth(df: DataFrame) -> DataFrame:
 def sample_items(df: DataFrame, limit: int, key: str = "item_id", seed: int = SHUFFLE_SEED) -> DataFrame:
     """A repeatable shuffle, then the first ``limit`` items.
 
-    The order is a hash of seed and key, the same on any partitioning, and the
-    limit is a top-n per task, so the table is not sorted.
+    The order is a hash of seed and key, the same on any partitioning. The key of the
+    last item is found by counting, so no task holds the sample, however large it is.
     """
     ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(ticket, key).limit(limit)
+    taken = first_rows(df.withColumn("_ticket", ticket), ["_ticket", key], limit)
+    return taken.orderBy("_ticket", key).drop("_ticket")
