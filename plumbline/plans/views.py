@@ -38,24 +38,49 @@ def row_key(*names: str) -> Column:
     return F.concat_ws(":", *(F.col(n).cast("string") for n in names))
 
 
+#: Turns of a conversation that one task puts in order.
+TURNS = 8192
+
+
 def _uses(turns: DataFrame) -> DataFrame:
     """(conv_id, from_turn, turn, use): what each turn is to which answer, found without any text.
 
     A turn is a context of the next answer after it. An answer is its own, and the
-    nearest user turn before it is its question, at any distance.
+    nearest user turn before it is its question, at any distance. Conversations are cut
+    into ranges of turns, so a task sorts a range at most; what lies beyond the ends of
+    a range is carried over from one row for each range.
     """
-    slim = turns.select("conv_id", "turn", "role")
-    talk = Window.partitionBy("conv_id")
-    before = talk.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    after = talk.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    slim = turns.select("conv_id", "turn", "role", F.floor(F.col("turn") / TURNS).alias("range"))
     answers = F.when(F.col("role") == "assistant", F.col("turn"))
     asked = F.when(F.col("role") == "user", F.col("turn"))
-    placed = slim.select(
+    here = Window.partitionBy("conv_id", "range")
+    before = here.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    after = here.orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    near = slim.select(
         "conv_id",
+        "range",
         "turn",
         answers.alias("own"),
-        F.last(answers, ignorenulls=True).over(after).alias("next_answer"),
-        F.last(asked, ignorenulls=True).over(before).alias("asked"),
+        F.last(answers, ignorenulls=True).over(after).alias("near_answer"),
+        F.last(asked, ignorenulls=True).over(before).alias("near_asked"),
+    )
+    # One row for each range tells the others what stands before and behind it.
+    ends = slim.groupBy("conv_id", "range").agg(F.max(asked).alias("last_asked"), F.min(answers).alias("first_answer"))
+    ranges = Window.partitionBy("conv_id")
+    earlier = ranges.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    later = ranges.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "conv_id",
+        "range",
+        F.last("last_asked", ignorenulls=True).over(earlier).alias("far_asked"),
+        F.last("first_answer", ignorenulls=True).over(later).alias("far_answer"),
+    )
+    placed = near.join(carried, ["conv_id", "range"]).select(
+        "conv_id",
+        "turn",
+        "own",
+        F.coalesce("near_answer", "far_answer").alias("next_answer"),
+        F.coalesce("near_asked", "far_asked").alias("asked"),
     )
     turn = F.col("turn")
     use = lambda who, what, kind: F.struct(who.alias("from_turn"), what.alias("turn"), F.lit(kind).alias("use"))

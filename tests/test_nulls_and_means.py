@@ -95,3 +95,18 @@ def test_rare_contradiction_pairs(spark):
 def test_members_of_duplicate_groups(spark):
     docs = spark.createDataFrame([(5, "b a"), (2, "a b"), (9, "A  b"), (1, "c"), (7, ""), (8, None)], "doc_id long, content string")
     assert {r.doc_id: r.group_id for r in du.members(docs).collect()} == {5: 2, 2: 2, 9: 2, 1: 1}
+
+
+def test_items_do_not_depend_on_ranges(spark, monkeypatch):
+    """A conversation of many turns gives the same uses whole and in ranges of a few turns."""
+    import random
+
+    pick = random.Random(4)
+    rows = [(c, t, pick.choice(["user", "assistant", "system"])) for c in (1, 2) for t in range(300) if pick.random() < 0.7]
+    rows += [(3, t, "user") for t in range(40)] + [(4, t, "assistant") for t in range(0, 400, 9)] + [(5, -7, "user"), (5, 900, "assistant"), (5, None, "user")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string")
+    found = []
+    for size in (1, 3, 50, 8192):
+        monkeypatch.setattr(views, "TURNS", size)
+        found.append(sorted(tuple(r) for r in views._uses(turns).where("from_turn is not null and turn is not null").collect()))
+    assert found[0] == found[1] == found[2] == found[3] and (5, -7, 900, "question") in found[0]
