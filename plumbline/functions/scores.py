@@ -19,8 +19,17 @@ def exact_mean(score: Column) -> Column:
 
     Scores are added as whole billionths and divided once; nulls do not count.
     """
-    total = F.sum(F.round(score * 1e9).cast("decimal(19,0)")).cast("decimal(34,0)")
-    n = F.count(score).cast("decimal(20,0)")
+    return mean_of(exact_sum(score), F.count(score))
+
+
+def exact_sum(score: Column) -> Column:
+    """Sum in whole billionths, as an aggregate; sums of parts add up to the sum of all."""
+    return F.sum(F.round(score * 1e9).cast("decimal(19,0)")).cast("decimal(34,0)")
+
+
+def mean_of(total: Column, count: Column) -> Column:
+    """Mean to the millionth, halves up, from a sum in whole billionths."""
+    n = count.cast("decimal(20,0)")
     twice, step = total * 2 + n * 1000, n * 2000
     millionths = (twice - F.pmod(twice, step)) / step
     return F.when(n > 0, millionths.cast("double") / 1e6)

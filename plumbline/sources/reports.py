@@ -1,20 +1,23 @@
 """Run stores, report files and exports.
 
-The native form of a run is Parquet: ``results`` and ``errors`` partitioned by
-run, and one row per run in ``runs``. Report JSON files are read for diagnosis
-and history, and a summary can be written as JSON.
+The native form of a run is Parquet: ``results``, ``errors`` and exact ``sums`` of each
+saved batch in a folder of their own, and a commit of one row that names the folders of
+a run. History and comparison read commits and sums, never the results. Report JSON
+files are read for diagnosis and history, and a summary can be written as JSON.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scores import exact_mean, exact_sum, mean_of
 from plumbline.operators import summary as sm
 
 _ITEM_FIELDS = (
@@ -41,53 +44,154 @@ def save_run(
 ) -> str:
     """K1: write one run to a store folder; returns its id.
 
-    Saving a run again replaces its own partitions only. ``results`` is scored
-    items with ``error_type``; the failed ones also go to ``errors``.
+    ``results`` is scored items with ``error_type``; the failed ones also go to
+    ``errors``. Results, errors and sums become visible together, by the commit that is
+    written last: a save that fails in between leaves no run, and the next save of the
+    run replaces what there was.
     """
-    metrics = list(metrics)
+    spark = results.sparkSession
     run_id = run_id or str(uuid.uuid4())
     created_at = created_at or datetime.now(timezone.utc).isoformat()
-    settings = config or {}
-    rows = results.withColumn("run_id", F.lit(run_id))
-
-    def write(df: DataFrame, table: str) -> None:
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("run_id").parquet(f"{store}/{table}")
-
-    write(rows, "results")
-    saved = read_results(results.sparkSession, store).where(F.col("run_id") == run_id)
-    write(saved.where(F.col("error_type").isNotNull()).select("run_id", "item_id", "error_type"),
-          "errors")
-    means = sm.wide_means(saved, metrics).groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "mean_score"))).alias("metrics_summary"),
-        F.avg("mean_score").alias("score"),
-    )
-    cost = F.sum("cost_usd") if "cost_usd" in saved.columns else F.lit(0.0)
-    costs = saved.groupBy("run_id").agg(cost.alias("cost"))
-    row = (
-        sm.run_totals(saved)
-        .join(means, "run_id")
-        .join(costs, "run_id")
-        .withColumns(
-            {
-                "created_at": F.lit(created_at).cast("timestamp"),
-                "dataset_path": F.lit(settings.get("dataset_path")).cast("string"),
-                "output": F.lit(settings.get("output", "json")),
-                "config": F.lit(json.dumps(settings, default=str)),
-            }
-        )
-    )
-    write(row, "runs")
+    before = _attempts(spark, store).get(run_id, [])
+    attempt = _write_attempt(results, store, list(metrics), run_id)
+    _commit(spark, store, run_id, [attempt], created_at, config or {})
+    for old in before:
+        _delete(spark, f"{store}/attempts/{old}")
     return run_id
 
 
+def add_results(results: DataFrame, store: str, metrics: Iterable[str], run_id: str) -> None:
+    """Add a batch of scored items to a run; its sums are merged, what is stored is not read again."""
+    spark = results.sparkSession
+    known = _commits(spark, store).where(F.col("run_id") == run_id).first()
+    if known is None:
+        raise ValueError(f"no run {run_id!r}")
+    attempt = _write_attempt(results, store, list(metrics), run_id)
+    created_at = known["created_at"].replace(tzinfo=timezone.utc).isoformat()
+    _commit(spark, store, run_id, [*known["attempts"], attempt], created_at, json.loads(known["config"]))
+
+
+def _write_attempt(results: DataFrame, store: str, metrics: list[str], run_id: str) -> str:
+    """Results, errors and sums of some items in a folder of their own, which no reader looks at yet."""
+    attempt = uuid.uuid4().hex
+    folder = f"{store}/attempts/{attempt}"
+    results.withColumn("run_id", F.lit(run_id)).write.parquet(f"{folder}/results")
+    saved = results.sparkSession.read.parquet(f"{folder}/results")
+    saved.where(F.col("error_type").isNotNull()).select("run_id", "item_id", "error_type").write.parquet(f"{folder}/errors")
+    _sums(saved, metrics).write.parquet(f"{folder}/sums")
+    return attempt
+
+
+#: Names of the sums that are no metric.
+ITEMS, ERRORS, TOKENS, LATENCY, COST = "#items", "#errors", "#tokens", "#latency_ms", "#cost_usd"
+
+
+def _sums(results: DataFrame, metrics: list[str]) -> DataFrame:
+    """(run_id, metric, n, total): exact sums in whole billionths, which add up over batches."""
+    tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    cost = F.col("cost_usd") if "cost_usd" in results.columns else F.lit(0.0)
+    values = {
+        **{m: F.col(m).cast("double") for m in metrics},
+        ITEMS: F.lit(0.0),
+        ERRORS: F.when(F.col("error_type").isNotNull(), F.lit(0.0)),
+        LATENCY: F.col("latency_ms").cast("double"),
+        COST: cost.cast("double"),
+    }
+    each = [F.struct(F.lit(m).alias("metric"), F.count(v).alias("n"), exact_sum(v).alias("total")) for m, v in values.items()]
+    each.append(F.struct(F.lit(TOKENS).alias("metric"), F.count(F.lit(1)).alias("n"), F.sum(tokens).cast("decimal(34,0)").alias("total")))
+    return results.groupBy("run_id").agg(F.array(*each).alias("sums")).select("run_id", F.inline("sums"))
+
+
+_COMMIT = "run_id STRING, attempts ARRAY<STRING>, created_at TIMESTAMP, dataset_path STRING, output STRING, config STRING, committed BIGINT"
+
+
+def _commit(spark: SparkSession, store: str, run_id: str, attempts: list[str], created_at: str, settings: dict) -> None:
+    """One row in one file, which appears as a whole; the last commit of a run is the one that holds."""
+    path = settings.get("dataset_path")
+    row = (run_id, attempts, None if path is None else str(path), str(settings.get("output", "json")), json.dumps(settings, default=str), time.time_ns())
+    made = spark.createDataFrame([row], "run_id STRING, attempts ARRAY<STRING>, dataset_path STRING, output STRING, config STRING, committed BIGINT")
+    stamped = made.withColumn("created_at", F.lit(created_at).cast("timestamp"))
+    stamped.coalesce(1).write.mode("append").parquet(f"{store}/commits")
+
+
+def _commits(spark: SparkSession, store: str) -> DataFrame:
+    """The last commit of each run that is not deleted (one without attempts deletes)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/commits")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _COMMIT)
+    every = spark.read.schema(_COMMIT).parquet(f"{store}/commits")
+    last = every.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in every.columns if c != "run_id"]), "committed").alias("c"))
+    return last.select("run_id", "c.*").where(F.size("attempts") > 0)
+
+
+def _attempts(spark: SparkSession, store: str) -> dict[str, list[str]]:
+    """Folders of each run: one entry for each batch that was saved."""
+    return {r["run_id"]: r["attempts"] for r in _commits(spark, store).select("run_id", "attempts").collect()}
+
+
+def _stored(spark: SparkSession, store: str, table: str) -> DataFrame | None:
+    paths = [f"{store}/attempts/{a}/{table}" for listed in _attempts(spark, store).values() for a in listed]
+    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_results(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/results")
+    """Scored items of all runs of a store."""
+    found = _stored(spark, store, "results")
+    if found is None:
+        raise ValueError(f"no runs in {store}")
+    return found
+
+
+def read_errors(spark: SparkSession, store: str) -> DataFrame:
+    """(run_id, item_id, error_type) of the failed items of all runs of a store."""
+    found = _stored(spark, store, "errors")
+    if found is None:
+        raise ValueError(f"no runs in {store}")
+    return found
+
+
+def read_means(spark: SparkSession, store: str) -> DataFrame:
+    """(run_id, metric, mean_score, n) of all runs, merged from their sums; results are not read."""
+    found = _stored(spark, store, "sums")
+    if found is None:
+        return spark.createDataFrame([], "run_id STRING, metric STRING, mean_score DOUBLE, n BIGINT")
+    merged = _merged(found).where(~F.startswith("metric", F.lit("#")))
+    return merged.select("run_id", "metric", mean_of(F.col("total"), F.col("n")).alias("mean_score"), "n")
+
+
+def _merged(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("run_id", "metric").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(34,0)").alias("total"))
 
 
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    """S12 on the native store: one row per run."""
-    return spark.read.parquet(f"{store}/runs").withColumn("run_id", F.col("run_id").cast("string"))
+    """S12 on the native store: one row per run, from commits and sums alone."""
+    sums = _stored(spark, store, "sums")
+    if sums is None:
+        sums = spark.createDataFrame([], "run_id STRING, metric STRING, n BIGINT, total DECIMAL(34,0)")
+    merged = _merged(sums).withColumn("mean", mean_of(F.col("total"), F.col("n")))
+    is_metric = ~F.startswith("metric", F.lit("#"))
+
+    def only(name: str, what: str) -> Column:
+        return F.max(F.when(F.col("metric") == name, F.col(what)))
+
+    means = F.array_sort(F.collect_list(F.when(is_metric, F.struct("metric", "mean"))))
+    totals = merged.groupBy("run_id").agg(
+        F.coalesce(only(ITEMS, "n"), F.lit(0)).alias("total"),
+        F.coalesce(only(ERRORS, "n"), F.lit(0)).alias("errors"),
+        only(TOKENS, "total").cast("long").alias("total_tokens"),
+        only(LATENCY, "mean").alias("average_latency_ms"),
+        F.map_from_entries(means).alias("metrics_summary"),
+        exact_mean(F.when(is_metric, F.col("mean"))).alias("score"),
+        (only(COST, "total").cast("double") / 1e9).alias("cost"),
+    )
+    commits = _commits(spark, store).select("run_id", "created_at", "dataset_path", "output", "config")
+    empty = {"total": 0, "errors": 0}
+    return commits.join(totals, "run_id", "left").na.fill(empty)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -130,18 +234,18 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delete_runs(spark: SparkSession, store: str, run_ids: Iterable[str]) -> int:
-    """H5: delete the partitions of the named runs; returns how many there were."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
+    """H5: delete the named runs; returns how many there were. They are gone at once; then their files go."""
+    known, removed = _attempts(spark, store), 0
     for run_id in run_ids:
         if not run_id or "/" in run_id or run_id in (".", ".."):
             raise ValueError(f"not a run id: {run_id!r}")
-        found = False
-        for table in ("results", "errors", "runs"):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{store}/{table}/run_id={run_id}")
-            found = folder.getFileSystem(conf).delete(folder, True) or found
-        removed += found
+        attempts = known.pop(run_id, None)
+        if attempts is None:
+            continue
+        _commit(spark, store, run_id, [], datetime.now(timezone.utc).isoformat(), {})
+        for attempt in attempts:
+            _delete(spark, f"{store}/attempts/{attempt}")
+        removed += 1
     return removed
 
 

@@ -257,3 +257,57 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 
     a = sorted(map(tuple, spark.read.parquet(str(tmp_path / "scored")).select("item_id", *names).collect()))
     assert a == sorted(map(tuple, evaluate(items, names).select("item_id", *names).collect()))
+
+
+STORED = "item_id long, f1_score double, mrr double, error_type string, prompt_tokens long, completion_tokens long, latency_ms double, cost_usd double"
+
+
+def _batch(spark, n, seed):
+    import random
+
+    pick = random.Random(seed)
+    rows = [
+        (i, pick.random(), pick.choice([None, 0.1, 1 / 3]), pick.choice([None, None, "Timeout"]), pick.choice([None, i]), 2, pick.random() * 900, pick.random() / 1e3)
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, STORED)
+
+
+def test_batches_add_up_to_the_whole_run(spark, tmp_path):
+    store, metrics = str(tmp_path / "store"), ["f1_score", "mrr"]
+    parts = [_batch(spark, n, n) for n in (40, 7, 300)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rp.save_run(whole, store, metrics, "whole", "2024-01-01T00:00:00Z")
+    rp.save_run(parts[0], store, metrics, "merged", "2024-01-01T00:00:00Z", {"dataset_path": "d"})
+    for part in parts[1:]:
+        rp.add_results(part.repartition(3), store, metrics, "merged")
+    runs = {r["run_id"]: r.asDict() for r in rp.read_runs(spark, store).collect()}
+    same = [c for c in runs["whole"] if c not in ("run_id", "dataset_path", "config")]
+    assert all(runs["whole"][c] == runs["merged"][c] for c in same) and runs["merged"]["dataset_path"] == "d"
+    means = {(r["run_id"], r["metric"]): (r["mean_score"], r["n"]) for r in rp.read_means(spark, store).collect()}
+    assert all(means["whole", m] == means["merged", m] for m in metrics)
+    assert rp.read_results(spark, store).where("run_id = 'merged'").count() == 347
+    assert rp.read_errors(spark, store).where("run_id = 'merged'").count() == whole.where("error_type is not null").count()
+    with pytest.raises(ValueError):
+        rp.add_results(parts[0], store, metrics, "unknown")
+
+
+@pytest.mark.parametrize("step", ["_sums", "_commit"])
+def test_broken_save_leaves_no_run(spark, tmp_path, monkeypatch, step):
+    store = str(tmp_path / "store")
+    rp.save_run(_batch(spark, 5, 1), store, ["mrr"], "kept", "2024-01-01T00:00:00Z")
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(rp, step, fail)
+        for run in ("kept", "new"):
+            with pytest.raises(RuntimeError):
+                rp.save_run(_batch(spark, 50, 2), store, ["mrr"], run, "2024-02-01T00:00:00Z")
+    assert [(r["run_id"], r["total"]) for r in rp.read_runs(spark, store).collect()] == [("kept", 5)]
+    assert rp.read_results(spark, store).count() == 5
+    rp.save_run(_batch(spark, 50, 2), store, ["mrr"], "new", "2024-02-01T00:00:00Z")
+    rp.save_run(_batch(spark, 50, 2), store, ["mrr"], "new", "2024-02-01T00:00:00Z")
+    assert sorted((r["run_id"], r["total"]) for r in rp.read_runs(spark, store).collect()) == [("kept", 5), ("new", 50)]
+    assert rp.read_results(spark, store).where("run_id = 'new'").count() == 50
