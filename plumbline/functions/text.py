@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,13 +188,14 @@ def best_context(claim: Column, contexts: Column) -> Column:
 
 
 PROBE_CHARS, PROBE_TRIES = 16, 32
+_HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _longest_border(a: str, b: str) -> int:
     """Length of the longest suffix of ``a`` that is a prefix of ``b``.
 
     Finds where the opening of ``b`` stands in ``a``; texts that repeat it too
-    often take the linear-time way, so no input is quadratic.
+    often are compared by hashes of all lengths, so no input is quadratic.
     """
     if len(b) >= PROBE_CHARS:
         probe, at = b[:PROBE_CHARS], -1
@@ -204,30 +206,27 @@ def _longest_border(a: str, b: str) -> int:
             if a[at:] == b[: len(a) - at]:
                 return len(a) - at
         else:
-            return _border_by_failure(a, b)
+            return _border_by_hashes(a, b)
     short = min(PROBE_CHARS - 1, len(b))
     return next((n for n in range(short, 0, -1) if a.endswith(b[:n])), 0)
 
 
-def _border_by_failure(a: str, b: str) -> int:
-    """The same by the prefix function of ``b``, in linear time."""
-    fail = [0] * len(b)
-    k = 0
-    for i in range(1, len(b)):
-        while k and b[i] != b[k]:
-            k = fail[k - 1]
-        k += b[i] == b[k]
-        fail[i] = k
-    k = 0
-    last = len(a) - 1
-    for i, ch in enumerate(a):
-        while k and (k == len(b) or ch != b[k]):
-            k = fail[k - 1]
-        if k < len(b) and ch == b[k]:
-            k += 1
-        if k == len(b) and i < last:
-            k = fail[k - 1]
-    return k
+def _border_by_hashes(a: str, b: str) -> int:
+    """The same for all lengths at once: rolling hashes of suffixes and prefixes are compared
+    as arrays, and the longest length whose hashes agree is verified on the texts."""
+    n = min(len(a), len(b))
+    ends = np.frombuffer(a[len(a) - n :].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts = np.frombuffer(b[:n].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    powers = np.full(n, _HASH_BASE)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    spread = np.uint64(0xBF58476D1CE4E5B9)
+    prefix = np.cumsum((starts * spread ^ starts) * powers, dtype=np.uint64)
+    whole = np.cumsum((ends * spread ^ ends) * powers, dtype=np.uint64)
+    # A suffix that begins at place n - L has the weights of that place on.
+    suffix = whole[-1] - np.concatenate([[np.uint64(0)], whole[:-1]])[::-1]
+    agree = np.flatnonzero(suffix == prefix * powers[::-1])
+    return next((int(at) + 1 for at in agree[::-1] if a.endswith(b[: at + 1])), 0)
 
 
 def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -54,9 +54,20 @@ def test_char_overlap_equals_brute_force(a, b):
         (n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n]) or b.endswith(a[:n])), 0
     )
     assert tx._overlaps(pd.Series([a]), pd.Series([b]))[0] == want
-    assert max(
-        tx._border_by_failure(a[-min(len(a), len(b)):] if a and b else "", b[: len(a)]), 0
-    ) >= 0
+    if a and b:
+        want = next((n for n in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:n])), 0)
+        assert tx._border_by_hashes(a, b) == want
+
+
+def test_char_overlap_of_long_repeats():
+    import time
+
+    import pandas as pd
+
+    start = time.process_time()
+    for x, y, n in (("a" * 100_000, "a" * 100_000, 100_000), ("a" * 100_000, "a" * 99_999 + "b", 99_999), ("ab" * 50_000, "ba" * 50_000, 99_999), ("🙂é" * 40_000 + "x", "🙂é" * 40_000, 80_000)):
+        assert tx._overlaps(pd.Series([x]), pd.Series([y]))[0] == n
+    assert time.process_time() - start < 5
 
 
 def test_multiset_overlap_equals_counter(spark):
