@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontamination, jaccard_join, language_id, secrets
-from plumbline.llm.common import read_table, shared_folder
+from plumbline.llm.common import free_name, read_table, shared_folder
 from plumbline.llm.packing import pack_documents
 
 #: A text of which the best language explains less than this share is no prose.
@@ -23,10 +23,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without letters, and texts that no language explains, go.
     """
     model = language_id.learn(docs.select("lang", "text"))
-    found = language_id.identify(docs, model)
-    return found.where(
-        (found["lang_pred"] != language_id.UNDETERMINED) & (found["lang_score"] >= MIN_LANGUAGE_SCORE)
-    ).select(*docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = language_id.identify(docs, model, pred, score)
+    return found.where((found[pred] != language_id.UNDETERMINED) & (found[score] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

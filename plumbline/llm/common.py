@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage
 
-__all__ = ["cut_lineage", "crc_remainder", "read_table", "shared_folder", "small_batches"]
+__all__ = ["cut_lineage", "crc_remainder", "free_name", "read_table", "shared_folder", "small_batches"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -34,3 +34,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_remainder(column: str, modulus: int):
     """crc32 of an id, written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

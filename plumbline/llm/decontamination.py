@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import free_name, small_batches
 from plumbline.llm.shingles import mix, word_hashes
 
 #: Edits (words changed, added or left out) for each word of an item.
@@ -79,7 +79,7 @@ class SizeClass:
 
     width: int
     edits: int
-    places: np.ndarray
+    places: np.ndarray | None
     keys: np.ndarray | None = None
     items: np.ndarray | None = None
 
@@ -97,13 +97,20 @@ class SizeClass:
         return keys
 
     def fill(self, numbers: np.ndarray, strings: np.ndarray) -> None:
+        if self.places is None:
+            # Without tables: every different word of each item, in order.
+            pairs = np.unique(np.stack([strings.ravel(), np.repeat(numbers.astype(np.uint64), self.width)], axis=1), axis=0)
+            self.keys, self.items = pairs[:, 0], pairs[:, 1].astype(np.int64)
+            return
         keys = self.table_keys(strings)
         items = np.repeat(numbers, keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.items = keys.ravel()[order], items[order]
 
     def candidates(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(string, item) pairs that share a key."""
+        """(string, item) pairs that share a key; without tables, those that share so many words as a match must."""
+        if self.places is None:
+            return self._sharing(strings)
         keys = self.table_keys(strings)
         first = np.searchsorted(self.keys, keys.ravel(), side="left")
         hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == keys.ravel())
@@ -113,21 +120,33 @@ class SizeClass:
         return pairs[:, 0], pairs[:, 1]
 
 
+    def _sharing(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        least = max(1, self.width - self.edits)
+        for row, string in enumerate(strings):
+            first = np.searchsorted(self.keys, string, side="left")
+            count = np.searchsorted(self.keys, string, side="right") - first
+            items, n = np.unique(self.items[np.repeat(first, count) + _counting(count)], return_counts=True)
+            items = items[n >= least]
+            found.append((np.full(len(items), row, np.int64), items))
+        rows, items = zip(*found, strict=True)
+        return np.concatenate(rows), np.concatenate(items)
+
+
 def _counting(counts: np.ndarray) -> np.ndarray:
     """0 … n-1 for each n in turn."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def choose_tables(strings: np.ndarray, edits: int, recall: float = RECALL) -> np.ndarray:
+def choose_tables(strings: np.ndarray, edits: int, recall: float = RECALL) -> np.ndarray | None:
     """Sampled places of each table: the most places, then the fewest tables, that reach ``recall``.
 
-    ``edits`` is the number of edits at which the recall is measured. If no setting
-    reaches it, the one that comes closest is taken.
+    ``edits`` is the number of edits at which the recall is measured. None if no setting
+    reaches it; such items are searched for by their words.
     """
     random = np.random.default_rng(11)
     chosen = strings[random.integers(0, len(strings), TRIALS)]
     copies = np.stack([edited(s, edits, random) for s in chosen])
-    best = (-1.0, None)
     for sampled in (6, 5, 4, 3, 2, 1):
         places = np.sort(random.integers(0, 2 * strings.shape[1], (MAX_TABLES, sampled)), axis=1)
         whole = SizeClass(strings.shape[1], edits, places)
@@ -135,8 +154,7 @@ def choose_tables(strings: np.ndarray, edits: int, recall: float = RECALL) -> np
         enough = np.flatnonzero(met >= recall)
         if len(enough):
             return places[: enough[0] + 1]
-        best = max(best, (met[-1], places), key=lambda x: x[0])
-    return best[1]
+    return None
 
 
 def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -291,6 +309,7 @@ def contaminated(
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; a null doc_id is looked up by its text."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    held = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("_row"))
-    return keyed.join(held.distinct(), "_row", "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    held = contaminated(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias(row))
+    return keyed.join(held.distinct(), row, "left_anti").select(*docs.columns)

@@ -1,9 +1,10 @@
 """Language identification with bit-sliced Bloom filters over letter n-grams.
 
 Each slot of the filter is one word with a bit per language, so one lookup (k
-slots, joined by AND) returns every language that holds an n-gram. A text's count
-for a language is the number of its n-grams with that bit, less the ones that the
-filter is expected to report by mistake.
+slots, joined by AND) returns every language that holds an n-gram; each 63 languages
+have a word of their own in every slot. A text's count for a language is the number of
+its n-grams with that bit, less the ones that the filter is expected to report by
+mistake.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ MIN_SHARE = 0.002
 PART_OF_LARGEST = 0.3
 #: Slots for each n-gram and hash; a power of two above is taken.
 SLOTS_PER_GRAM = 8
-MAX_LANGUAGES = 63
+#: Languages of one word.
+WORD_LANGUAGES = 63
 #: N-grams that a worker holds before it passes counts on.
 HELD_GRAMS = 1_000_000
 
@@ -76,7 +78,7 @@ def _slots(gram: np.ndarray, hashes: int, n_slots: int) -> Iterator[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """``words`` has a bit for each language in every slot; ``mistakes`` the false positive rates."""
+    """``words`` has a row of slots for each WORD_LANGUAGES languages, with a bit for each; ``mistakes`` the false positive rates."""
 
     languages: list[str]
     words: np.ndarray
@@ -85,10 +87,10 @@ class LanguageFilter:
     mistakes: np.ndarray
 
     def masks(self, gram: np.ndarray) -> np.ndarray:
-        """All languages that hold each n-gram."""
+        """All languages that hold each n-gram, a row for each row of ``words``."""
         found = None
-        for slot in _slots(gram, self.hashes, len(self.words)):
-            found = self.words[slot] if found is None else found & self.words[slot]
+        for slot in _slots(gram, self.hashes, self.words.shape[1]):
+            found = self.words[:, slot] if found is None else found & self.words[:, slot]
         return found
 
     def decide(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -100,9 +102,10 @@ class LanguageFilter:
             return [(UNDETERMINED, 0.0)] * len(texts)
         masks = self.masks(np.concatenate(each))
         counts = np.zeros((len(texts), len(self.languages)))
-        for bit in range(len(self.languages)):
-            running = np.concatenate(([0], np.cumsum((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), dtype=np.int64)))
-            counts[:, bit] = running[ends] - running[ends - n]
+        for number in range(len(self.languages)):
+            row, bit = masks[number // WORD_LANGUAGES], masks.dtype.type(number % WORD_LANGUAGES)
+            running = np.concatenate(([0], np.cumsum((row >> bit) & masks.dtype.type(1), dtype=np.int64)))
+            counts[:, number] = running[ends] - running[ends - n]
         expected = n[:, None] * self.mistakes
         counts = np.maximum(counts - expected, 0) / np.maximum(1 - self.mistakes, 1e-9)
         best = counts.argmax(axis=1)
@@ -165,34 +168,39 @@ def learn(
     known = docs.where(F.col("lang").isNotNull()).select("lang", "text")
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages do not fit one word")
     if not languages:
-        return LanguageFilter([], np.zeros(1, np.uint8), hashes, size, np.zeros(0))
-    numbers = spark.createDataFrame([(x, 1 << n, totals[x]) for n, x in enumerate(languages)], "lang string, flag long, n long")
+        return LanguageFilter([], np.zeros((1, 1), np.uint8), hashes, size, np.zeros(0))
+    n_words = -(-len(languages) // WORD_LANGUAGES)
+    numbered = [(x, n // WORD_LANGUAGES, 1 << n % WORD_LANGUAGES, totals[x]) for n, x in enumerate(languages)]
+    numbers = spark.createDataFrame(numbered, "lang string, word int, flag long, n long")
     shares = _gram_counts(known, size).join(F.broadcast(numbers), "lang")
-    shares = shares.select("gram", F.struct((F.col("n_texts") / F.col("n")).alias("share"), "flag").alias("one"))
+    shares = shares.select("gram", F.struct((F.col("n_texts") / F.col("n")).alias("share"), "word", "flag").alias("one"))
     by_gram = shares.groupBy("gram").agg(F.collect_list("one").alias("all"), F.max("one.share").alias("top"))
-    mask = F.aggregate(
-        F.filter("all", lambda x: (x["share"] >= min_share) & (x["share"] >= F.col("top") * part_of_largest)),
-        F.lit(0).cast("long"),
-        lambda done, x: done.bitwiseOR(x["flag"]),
-    )
-    kept = by_gram.where(F.col("top") >= min_share).select("gram", mask.alias("mask")).where("mask != 0").cache()
-    n_slots = 1 << max(10, (kept.count() * hashes * SLOTS_PER_GRAM - 1).bit_length())
+    chosen = F.filter("all", lambda x: (x["share"] >= min_share) & (x["share"] >= F.col("top") * part_of_largest))
+
+    def mask(word: int):
+        own = F.filter("chosen", lambda x: x["word"] == word)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda done, x: done.bitwiseOR(x["flag"]))
+
+    words_of = F.array(*(F.struct(F.lit(w).alias("word"), mask(w).alias("mask")) for w in range(n_words)))
+    held = by_gram.where(F.col("top") >= min_share).select("gram", chosen.alias("chosen"))
+    kept = held.select("gram", F.inline(words_of)).where("mask != 0").cache()
+    n_slots = 1 << max(10, (kept.select("gram").distinct().count() * hashes * SLOTS_PER_GRAM - 1).bit_length())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gram = batch["gram"].to_numpy(zero_copy_only=False).view(np.uint64)
             for slot in _slots(gram, hashes, n_slots):
-                yield pa.RecordBatch.from_arrays([pa.array(slot), batch["mask"]], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), batch["word"], batch["mask"]], ["slot", "word", "mask"])
 
-    filled = kept.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    placed = kept.mapInArrow(place, "slot long, word int, mask long")
+    filled = placed.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     kept.unpersist()
-    bits = next(b for b in (8, 16, 32, 64) if b >= len(languages))
-    words = np.zeros(n_slots, np.dtype(f"u{bits // 8}"))
-    words[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(words.dtype)
-    fill = np.array([np.count_nonzero(words >> words.dtype.type(b) & words.dtype.type(1)) for b in range(len(languages))])
+    bits = next(b for b in (8, 16, 32, 64) if b >= min(len(languages), WORD_LANGUAGES))
+    words = np.zeros((n_words, n_slots), np.dtype(f"u{bits // 8}"))
+    words[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(words.dtype)
+    one = words.dtype.type(1)
+    fill = np.array([np.count_nonzero(words[n // WORD_LANGUAGES] >> words.dtype.type(n % WORD_LANGUAGES) & one) for n in range(len(languages))])
     return LanguageFilter(languages, words, hashes, size, (fill / n_slots) ** hashes)
 
 
@@ -201,21 +209,24 @@ def _shared(spark: SparkSession, model: LanguageFilter):
     return spark.sparkContext.broadcast(model)
 
 
-def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """All columns of ``docs``, with lang_pred and lang_score, from the whole ``text``.
+def identify(docs: DataFrame, model: LanguageFilter, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns of ``docs``, with ``pred`` and ``score``, from the whole ``text``.
 
     A text that is null or has no letter is ``und`` with score 0. Rows stay as they
-    are, repeated ones included. A tie goes to the language that sorts first.
+    are, repeated ones included. A tie goes to the language that sorts first. Columns of
+    ``docs`` that have the names of the new ones give way to them.
     """
     small_batches(docs.sparkSession)
-    shared, names = _shared(docs.sparkSession, model), docs.columns
+    shared = _shared(docs.sparkSession, model)
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())))
+    names = docs.columns
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.decide(batch["text"].to_pylist())
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *columns], [*names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *columns], [*names, pred, score])
 
-    found = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    found = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *found])
     return docs.mapInArrow(decide, schema)

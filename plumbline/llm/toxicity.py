@@ -306,21 +306,23 @@ def learn(
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of ``docs`` with ``toxicity`` (0 to 1), from the whole ``text``.
+def score(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with ``name`` (0 to 1), from the whole ``text``.
 
     A text without letters, and a null one, scores as a text without any toxic
-    window. Rows stay as they are.
+    window. Rows stay as they are. A column of ``docs`` with this name gives way.
     """
     small_batches(docs.sparkSession)
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*(c for c in docs.columns if c.lower() != name.lower()))
+    names = docs.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WindowScores(shared.value)
         for batch in batches:
             worst = worst_windows(batch["text"].to_pylist(), known, -1.0)
             found = pa.array(shared.value.probability(worst))
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), found], [*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), found], [*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(read, schema)

@@ -32,13 +32,55 @@ def test_language_filter(spark):
 
 def test_filter_matches_plain_sets():
     """Without mistakes of the filter, counts are plain set lookups."""
-    words = np.zeros(1 << 16, np.uint8)
+    words = np.zeros((1, 1 << 16), np.uint8)
     one, two = language_id.grams("abc abd"), language_id.grams("abc xyz")
     for gram, bit in ((one, 1), (two, 2)):
-        for slot in language_id._slots(gram, 3, len(words)):
-            np.bitwise_or.at(words, slot, bit)
+        for slot in language_id._slots(gram, 3, words.shape[1]):
+            np.bitwise_or.at(words[0], slot, bit)
     model = language_id.LanguageFilter(["p", "q"], words, 3, 3, np.zeros(2))
-    assert set(model.masks(one).tolist()) == {1, 3} and model.decide(["abd", "xyz", "1"]) == [("p", 1.0), ("q", 1.0), ("und", 0.0)]
+    assert set(model.masks(one)[0].tolist()) == {1, 3} and model.decide(["abd", "xyz", "1"]) == [("p", 1.0), ("q", 1.0), ("und", 0.0)]
+
+
+def test_many_languages(spark):
+    """More languages than one word holds; every text is of its own one."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 4 * 130)]
+    texts = [prose(n, 30, letters[4 * (n % 130) : 4 * (n % 130) + 4]) for n in range(260)]
+    langs = {n: f"l{n % 130:03}" for n in range(260)}
+    docs = make_docs(spark, texts, langs)
+    model = language_id.learn(docs)
+    assert len(model.languages) == 130 and model.words.shape[0] == 3
+    assert all(r.lang_pred == r.lang and r.lang_score > 0.9 for r in language_id.identify(docs, model).collect())
+
+
+def test_columns_with_the_names_of_results(spark):
+    """Own columns give way to results of these names, and helper columns touch none."""
+    docs = make_docs(spark, [prose(n, 40) for n in range(6)]).selectExpr("*", "'old' as lang_pred", "doc_id as Lang_Score", "doc_id as toxicity", "doc_id + 5 as _row")
+    found = language_id.identify(docs, language_id.learn(docs))
+    assert sorted(found.columns) == sorted([*(c for c in docs.columns if c != "Lang_Score"), "lang_score"])
+    assert {r.lang_pred for r in found.collect()} == {"en"}
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(0 as int) as toxic").limit(0))
+    assert all(0 <= r.toxicity <= 1 for r in toxicity.score(docs, model).collect())
+    items = spark.createDataFrame([(1, prose(3, 40))], "item_id long, text string")
+    kept = decontamination.without_benchmark(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._row) for r in kept.collect()) == [(n, n + 5) for n in (0, 1, 2, 4, 5)]
+
+
+@pytest.mark.parametrize("tables", [True, False])
+def test_items_without_enough_recall_are_found_by_words(spark, monkeypatch, tables):
+    if not tables:
+        monkeypatch.setattr(decontamination, "choose_tables", lambda *args: None)
+    random_words = np.random.default_rng(1)
+    items = [(n, prose(n, 30 + n % 3)) for n in range(12)]
+    texts = []
+    for n, text in items:
+        words = text.split()
+        for at in random_words.integers(0, len(words), 3):
+            words[at] = f"changed{at}"
+        texts.append(f"{prose(100 + n, 50)} {' '.join(words)} {prose(200 + n, 50)}")
+    docs = make_docs(spark, [*texts, prose(999, 400)])
+    found = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(n, n) for n in range(12)}
 
 
 def plain_classes(rows, threshold=0.8):
