@@ -56,7 +56,7 @@ def staleness_issues(stale: DataFrame) -> DataFrame:
         "severity",
         F.format_string("Document is %d days old", "age_days").alias("title"),
         F.concat(
-            F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" was last updated on "),
+            F.lit("The latest date of document "), F.col("doc_id").cast("string"), F.lit(" is "),
             day, F.lit("."),
         ).alias("description"),
         F.array(F.col("doc_id").cast("string")).alias("document_ids"),
