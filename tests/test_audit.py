@@ -55,6 +55,30 @@ def test_duplicate_texts_equal_brute_force(spark, threshold):
             assert r["similarity"] == pytest.approx(jac(texts[r["doc_a"]], texts[r["doc_b"]]))
 
 
+def test_few_texts_are_verified(spark):
+    """Texts that share rare words by chance are told apart before their words are joined."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(2000)], 120)) for _ in range(300)]
+    texts += [t + " one more" for t in texts[:20]]
+    groups = du._word_groups(docs_df(spark, texts)).withColumn("words", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    index = du._prefixes(groups, 0.8).cache()
+    found = {(r["a_id"], r["b_id"]) for r in du._candidates(index, 0.8).collect()}
+    close = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jac(texts[i], texts[j]) >= 0.8}
+    by_word = index.toDF(*(f"{c}_b" for c in index.columns)).join(index, F.col("word") == F.col("word_b"))
+    assert by_word.where("id < id_b").select("id", "id_b").distinct().count() > 1000
+    assert {(min(p), max(p)) for p in found} >= close and len(found) < 2 * len(close)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.92])
+def test_duplicate_texts_with_crowded_buckets(spark, monkeypatch, threshold):
+    """Few buckets and one word list of several slices change no pair."""
+    monkeypatch.setattr(du, "FREQUENCY_BUCKETS", 4)
+    monkeypatch.setattr(du, "PREFIX_WORDS", 30)
+    texts = random_texts(80, 5)
+    got = du.duplicate_texts(docs_df(spark, texts), threshold).agg(F.sum("n_pairs")).first()[0]
+    assert got == sum(jac(a, b) >= threshold for a, b in itertools.combinations(texts, 2))
+
+
 @pytest.mark.parametrize("block_rows", [5, 1000])
 def test_duplicate_vectors_equal_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(metric_join, "BLOCK_ROWS", block_rows)
