@@ -91,6 +91,25 @@ def test_topk_vectors_equals_numpy(spark, kernel, block_rows):
         assert [r["score"] for r in mine] == pytest.approx([value[i, j] for j in order])
 
 
+@pytest.mark.parametrize("odd", [0.0, np.nan, np.inf])
+def test_nearest_equals_sorting(monkeypatch, odd):
+    """The bound of the first columns loses nothing, with ties, rounding and odd values."""
+    monkeypatch.setattr(vector_ranking, "HEAD_ROWS", 20)
+    order = np.round(np.random.default_rng(2).normal(size=(30, 300)), 1)
+    order[:, 100:] += 1e-13
+    order[3, 7] = order[4, 250] = odd
+    near = np.round(order, 12)
+    rows, cols, got = vector_ranking._nearest(order, 5)
+    want = np.argsort(-near, axis=1, kind="stable")[:, :5].ravel()
+    assert rows.tolist() == np.repeat(np.arange(30), 5).tolist() and cols.tolist() == want.tolist()
+    assert np.array_equal(got, near[rows, cols], equal_nan=True)
+
+
+def test_vectors_are_sent_to_few_blocks(spark):
+    """Each side is sent once for every block of the other, so blocks must be large."""
+    assert vector_ranking.block_count(spark.range(60_000), vector_ranking.BLOCK_ROWS) <= 4
+
+
 def test_score_normalising(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 10.0), (2, 3.0), (2, 3.0)], "q int, s double")
     rows = df.select("q", scores.minmax(F.col("s"), scores.list_of("q")).alias("x")).collect()
