@@ -4,8 +4,9 @@ Two vectors with a cosine of at least t are, scaled to length 1, no further apar
 sqrt(2 - 2t). Each vector lives in the cell of its nearest pivot, and in it in a band
 of distances to that pivot. It is sent as a guest to another cell only if the ball of
 that cell, and the plane half-way between the two pivots, are within this distance, and
-there only to the bands that its own distance to the pivot allows. Bands are dealt over
-blocks of bounded size; a task holds the vectors that live in one block and lets the
+there only to the bands that its own distance to the pivot allows. Cells are small where
+that keeps most guests away, else about as large as blocks. Bands are dealt over blocks of
+bounded size; a task holds the vectors that live in one block and lets the
 guests pass by in batches.
 """
 
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 from plumbline.session import cut_lineage
 
 #: Vectors of a cell on average, at most so many pivots, and vectors that live in a block.
-CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 1024, 1024, 2048
+CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 1024, 1024, 32768
+#: Where a vector would visit more blocks than this on average, fewer and larger cells are taken.
+MOST_VISITS = 16
+#: Vectors by which the visits are estimated, and vectors that are compared at a time.
+SAMPLE, SLICE = 4096, 1024
 #: Guests of a block that pass through one task.
 GUESTS = 1 << 20
 #: Bands are at least this wide, so that a cell has a bounded number of them.
@@ -97,17 +102,36 @@ def _assigned(usable: DataFrame, cells: Cells) -> DataFrame:
     return cut_lineage(usable.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int, near double"))
 
 
+def _visits(sample: np.ndarray, count: int, reach: float, n: int) -> float:
+    """About how many blocks a vector visits as a guest, with the first ``count`` of the sample as pivots."""
+    cells = Cells(sample[:count], reach)
+    far = cells.distances(sample)
+    own, near = far.argmin(axis=1), far.min(axis=1)
+    places, sizes = np.unique(np.stack([own, cells.band(near)], axis=1), axis=0, return_counts=True)
+    for (cell, band), size in zip(places.tolist(), sizes.tolist()):
+        cells.blocks[cell, band] = math.ceil(size * n / len(sample) / BLOCK_ROWS)
+    np.maximum.at(cells.radius, own, near)
+    some = slice(-512, None)
+    deal = np.arange(len(sample))
+    return sum(p[5] for p in cells.places(sample[some], own[some], near[some], deal[some])) / len(sample[some])
+
+
 def _cells(usable: DataFrame, reach: float) -> tuple[Cells, DataFrame] | None:
     """Cells and the vectors in them. Pivots are the first vectors by a hash of the id.
 
-    At most MOST_PIVOTS vectors and a row for each band reach the driver.
+    Small cells tell clusters apart, but where the pivots tell little apart every vector
+    visits most cells, so the number of cells is halved until few are visited or a cell fills a block.
+    At most SAMPLE vectors and a row for each band reach the driver.
     """
     n = usable.count()
     if not n:
         return None
-    count = min(MOST_PIVOTS, math.ceil(n / CELL_ROWS))
-    first = usable.orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    cells = Cells(_unit(np.array([r["v"] for r in first], dtype=np.float64)), reach, max(1, math.ceil(n / GUESTS)))
+    first = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = _unit(np.array([r["v"] for r in first], dtype=np.float64))
+    count = min(MOST_PIVOTS, len(sample), math.ceil(n / CELL_ROWS))
+    while count > math.ceil(n / BLOCK_ROWS) and _visits(sample, count, reach, n) > MOST_VISITS:
+        count = math.ceil(count / 2)
+    cells = Cells(sample[:count], reach, max(1, math.ceil(n / GUESTS)))
     assigned = _assigned(usable, cells)
     band = F.floor(F.col("near") / cells.width).alias("band")
     for r in assigned.groupBy("cell", band).agg(F.count("*").alias("n"), F.max("near").alias("far")).collect():
@@ -186,16 +210,17 @@ def metric_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
                 key, guest = tuple(keys[low][:4]), bool(keys[low][4])
                 if key != here:
                     here, ids, units = key, [], []
-                some, unit = numbers[low:high], _unit(v[low:high])
-                for known, other in zip(ids, units):
-                    sims = other @ unit.T
-                    if guest or key[3] == 0:
-                        yield found(known, some, sims, sims >= threshold)
-                if not guest:
-                    if key[3] == 0:
-                        sims = unit @ unit.T
-                        yield found(some, some, sims, np.triu(sims >= threshold, 1))
-                    ids.append(some)
-                    units.append(unit)
+                for at in range(low, high, SLICE):
+                    some, unit = numbers[at : min(at + SLICE, high)], _unit(v[at : min(at + SLICE, high)])
+                    for known, other in zip(ids, units):
+                        if guest or key[3] == 0:
+                            sims = other @ unit.T
+                            yield found(known, some, sims, sims >= threshold)
+                    if not guest:
+                        if key[3] == 0:
+                            sims = unit @ unit.T
+                            yield found(some, some, sims, np.triu(sims >= threshold, 1))
+                        ids.append(some)
+                        units.append(unit)
 
     return dealt.mapInArrow(compare, schema)

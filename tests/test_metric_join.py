@@ -53,6 +53,16 @@ def test_few_guests_between_clusters(spark, monkeypatch):
     assert mj.guests(table(spark, vectors), 0.95) < 0.2 * 6000 * blocks / 2
 
 
+def test_visits_do_not_grow_with_cells(spark, monkeypatch):
+    """Vectors that pivots do not tell apart visit few blocks, and still find every pair."""
+    for name, value in (("CELL_ROWS", 20), ("MOST_VISITS", 4), ("SLICE", 50)):
+        monkeypatch.setattr(mj, name, value)
+    vectors = np.random.default_rng(5).normal(size=(1500, 16))
+    assert mj.guests(table(spark, vectors), 0.4) <= 5 * len(vectors)
+    got = {(r.a, r.b) for r in mj.metric_pairs(table(spark, vectors), 0.4).collect()}
+    assert {p for p, s in all_pairs(vectors, 0.4).items() if s >= 0.4 + 1e-9} <= got <= set(all_pairs(vectors, 0.4 - 1e-9))
+
+
 def test_empty_and_single(spark):
     one = table(spark, np.ones((1, 3)))
     assert mj.metric_pairs(one, 0.9).count() == 0 and mj.metric_pairs(one.limit(0), 0.9).count() == 0
