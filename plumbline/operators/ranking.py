@@ -238,7 +238,8 @@ def _unscored(
 
 def _postings(docs: DataFrame, weights: DataFrame, stats: CorpusStats, tokenizer: str) -> DataFrame:
     """(doc_id, term, part) of the terms that ``weights`` asks for."""
-    counted = _matched_tokens(docs, weights, tokenizer).groupBy("doc_id", "term").agg(
+    tokens = ix.spread(_matched_tokens(docs, weights, tokenizer), stats.n_docs * stats.avg_len, "doc_id", "term")
+    counted = tokens.groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
     )
     return counted.select("doc_id", "term", ix.part_of(F.col("tf"), F.col("dl"), stats.avg_len, K1, B).alias("part"))
