@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import let
+
 VERSION = "WARC/1.1"
 #: Between two records; Spark's text reader cuts archives here.
 BETWEEN = f"\r\n\r\n{VERSION}\r\n"
@@ -33,7 +35,8 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def payload_digest(payload: Column) -> Column:
-    return base32_of_hex(F.sha1(payload.cast("binary")))
+    # Bound once: written out, the hash would stand in the plan for each of the 32 letters.
+    return let(F.sha1(payload.cast("binary")), base32_of_hex)
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -91,6 +91,15 @@ def digest(text):
     return base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
 
 
+def test_payload_is_hashed_once(spark):
+    """The 32 letters of a digest share one hash in the plan."""
+    texts = ["", "<p>a</p>", "ä" * 100]
+    digests = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", warc.payload_digest(F.col("t")).alias("d"))
+    want = {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts} | {None: None}
+    assert {r["t"]: r["d"] for r in digests.collect()} == want
+    assert digests._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+
+
 def test_warc_round_trip(spark):
     htmls = ["<p>é one</p>", "", None, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\ny", "\r\n\r\n", "tail\r\n\r\n", "a" * 300_000, *["copy"] * 30]
     rows = [(n, f"http://h.example/{n}?q=1#f", h, "x") for n, h in enumerate(htmls)]
