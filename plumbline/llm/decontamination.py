@@ -82,6 +82,7 @@ class SizeClass:
     places: np.ndarray | None
     keys: np.ndarray | None = None
     items: np.ndarray | None = None
+    sieve: np.ndarray | None = None
 
     def table_keys(self, strings: np.ndarray) -> np.ndarray:
         """One key for each string and table; the tables take turns at the walks."""
@@ -106,16 +107,20 @@ class SizeClass:
         items = np.repeat(numbers, keys.shape[1])
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.items = keys.ravel()[order], items[order]
+        self.sieve = _sieve(self.keys)
 
     def candidates(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(string, item) pairs that share a key; without tables, those that share so many words as a match must."""
         if self.places is None:
             return self._sharing(strings)
         keys = self.table_keys(strings)
-        first = np.searchsorted(self.keys, keys.ravel(), side="left")
-        hit = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == keys.ravel())
-        count = np.searchsorted(self.keys, keys.ravel()[hit], side="right") - first[hit]
-        spots = np.repeat(first[hit], count) + _counting(count)
+        maybe = np.flatnonzero(self.sieve[keys.ravel().astype(np.uint16)])
+        asked = keys.ravel()[maybe]
+        first = np.searchsorted(self.keys, asked, side="left")
+        met = self.keys[np.minimum(first, len(self.keys) - 1)] == asked
+        hit, first = maybe[met], first[met]
+        count = np.searchsorted(self.keys, asked[met], side="right") - first
+        spots = np.repeat(first, count) + _counting(count)
         pairs = np.unique(np.stack([np.repeat(hit // keys.shape[1], count), self.items[spots]], axis=1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
@@ -133,6 +138,13 @@ class SizeClass:
         return np.concatenate(rows), np.concatenate(items)
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """Which low 16 bits some key has; most others need no search."""
+    found = np.zeros(1 << 16, bool)
+    found[keys.astype(np.uint16)] = True
+    return found
+
+
 def _counting(counts: np.ndarray) -> np.ndarray:
     """0 … n-1 for each n in turn."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -275,3 +275,15 @@ def test_kernel_features():
             if i < j:
                 own = sum(w * v for p, w in zip(place[i], weight[i], strict=True) for q, v in zip(place[j], weight[j], strict=True) if p == q and w and v)
                 assert own == pytest.approx(plain(a, b) / (plain(a, a) * plain(b, b)) ** 0.5, abs=0.01)
+
+
+def test_few_keys_are_searched_and_none_is_lost():
+    random = np.random.default_rng(4)
+    strings = random.integers(1, 1 << 62, (30, 12)).astype(np.uint64)
+    own = decontamination.SizeClass(12, 1, decontamination.choose_tables(strings, 1))
+    own.fill(np.arange(30), strings)
+    others = random.integers(1, 1 << 62, (200, 12)).astype(np.uint64)
+    rows, items = own.candidates(np.concatenate([others, strings]))
+    assert {(200 + n, n) for n in range(30)} <= set(zip(rows.tolist(), items.tolist()))
+    keys = own.table_keys(others).ravel()
+    assert own.sieve[own.keys.astype(np.uint16)].all() and own.sieve[keys.astype(np.uint16)].mean() < 0.2
