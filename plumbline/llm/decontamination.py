@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import free_name, small_batches
-from plumbline.llm.shingles import mix, word_hashes
+from plumbline.llm.shingles import mix, pair_hashes, word_hashes
 
 #: Edits (words changed, added or left out) for each word of an item.
 RATE = 0.15
@@ -191,7 +191,7 @@ def stretch_of(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 class BenchmarkIndex:
-    """Items of one block by size class, with the words that occur in each class."""
+    """Items of one block by size class, with the words and pairs of neighbouring words that occur in each class."""
 
     def __init__(self, items: list[tuple[object, str | None]], rate: float = RATE, min_words: int = MIN_WORDS) -> None:
         self.rate = rate
@@ -199,6 +199,7 @@ class BenchmarkIndex:
         self.items = sorted(((i, w) for i, w in words if len(w) >= min_words), key=lambda x: (len(x[1]), str(x[0])))
         self.classes: list[SizeClass] = []
         vocabulary: dict[int, int] = defaultdict(int)
+        neighbours: dict[int, int] = defaultdict(int)
         at = 0
         while at < len(self.items):
             width, end = len(self.items[at][1]), at
@@ -212,11 +213,17 @@ class BenchmarkIndex:
             for _, w in self.items[at:end]:
                 for word in w.tolist():
                     vocabulary[word] |= 1 << len(self.classes)
+                for pair in pair_hashes(w[:-1], w[1:]).tolist():
+                    neighbours[pair] |= 1 << len(self.classes)
             self.classes.append(own)
             at = end
-        known = sorted(vocabulary)
-        self.words = np.array(known, np.uint64)
-        self.of_class = np.array([[vocabulary[w] >> c & 1 for w in known] for c in range(len(self.classes))], bool)
+        self.words, self.of_class = self._table(vocabulary)
+        self.pairs, self.pair_of_class = self._table(neighbours)
+
+    def _table(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys in order, and a row for each class that tells which of them it has."""
+        known = sorted(found)
+        return np.array(known, np.uint64), np.array([[found[k] >> c & 1 for k in known] for c in range(len(self.classes))], bool)
 
     def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, object, int, int, int, int]]:
         """(text, item_id, edits, item words, begin, end) of the best stretch for each text and item."""
@@ -230,12 +237,23 @@ class BenchmarkIndex:
         stop = text_end[owner]
         spot = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
         known = self.words[spot] == flat
+        # Only two known words that stand together, in one text, can be a known pair.
+        twos = np.flatnonzero(known[:-1] & known[1:] & (owner[:-1] == owner[1:]) & (len(self.pairs) > 0))
+        pair = pair_hashes(flat[twos], flat[twos + 1])
+        pair_spot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        met = self.pairs[pair_spot] == pair
+        twos, pair_spot = twos[met], pair_spot[met]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for number, own in enumerate(self.classes):
             # An item with so many edits leaves all the other words of its window in place.
             least = max(1, own.width - own.edits)
+            # An edit parts two pairs of neighbours at most; the third is for windows beside the best stretch.
+            least_pairs = own.width - 1 - 3 * own.edits
+            begins = self._begins(twos[self.pair_of_class[number][pair_spot]], own.width, least_pairs, len(flat))
+            begins = begins[begins + least <= stop[begins]]
+            if not len(begins):
+                continue
             total = np.concatenate(([0], np.cumsum(known & self.of_class[number][spot])))
-            begins = np.flatnonzero(np.arange(len(flat)) + least <= stop)
             ends = np.minimum(begins + own.width, stop[begins])
             begins = begins[total[ends] - total[begins] >= least]
             for at in range(0, len(begins), WINDOWS):
@@ -253,6 +271,20 @@ class BenchmarkIndex:
         for (text, it), (edits, begin, end) in sorted(best.items()):
             yield text, self.items[it][0], edits, len(self.items[it][1]), begin, end
 
+    def _begins(self, at: np.ndarray, width: int, least: int, n: int) -> np.ndarray:
+        """Windows of ``width`` words, of ``n`` places, with ``least`` of the pairs that begin at ``at``."""
+        if least <= 0:
+            return np.arange(n)
+        # Of any so many pairs in a row that a window can hold, it begins at the first of them or before.
+        last = at[least - 1 :]
+        some = np.flatnonzero(last - at[: len(last)] <= width - 2)
+        if not len(some):
+            return some
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, np.maximum(last[some] - (width - 2), 0), 1)
+        np.add.at(change, at[some] + 1, -1)
+        return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+
     def _stretches(self, owner: np.ndarray, begins: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, from, to) to compare exactly; close windows of one item and text are read as one."""
         order = np.lexsort((begins, owner[begins], items)).tolist()

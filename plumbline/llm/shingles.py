@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of each word; the table starts anew when it is full."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 
@@ -46,6 +46,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each two words that follow each other."""
+    return mix(first * _BASE + second)
+
+
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     """Distinct n-grams of words; a text of fewer words is one n-gram, a text of none has none."""
     words = word_hashes(text)

@@ -287,3 +287,34 @@ def test_few_keys_are_searched_and_none_is_lost():
     assert {(200 + n, n) for n in range(30)} <= set(zip(rows.tolist(), items.tolist()))
     keys = own.table_keys(others).ravel()
     assert own.sieve[own.keys.astype(np.uint16)].all() and own.sieve[keys.astype(np.uint16)].mean() < 0.2
+
+
+def test_only_windows_with_pairs_of_an_item_are_embedded(monkeypatch):
+    pick, asked = random.Random(8), []
+    items = [(n, prose(3000 + n, 20)) for n in range(12)]
+    words = [w for _, text in items for w in text.split()]
+    near = []
+    for _, text in items:
+        copy = text.split()
+        copy[len(copy) // 2] = "zzother"
+        near.append(" ".join([*pick.choices(words, k=40), *copy, *pick.choices(words, k=40)]))
+    index = decontamination.BenchmarkIndex(items)
+    ask = decontamination.SizeClass.candidates
+    monkeypatch.setattr(decontamination.SizeClass, "candidates", lambda own, strings: asked.append(len(strings)) or ask(own, strings))
+    assert {(t, i) for t, i, *_ in index.hits([word_hashes(t) for t in near])} == {(n, n) for n in range(12)}
+    asked.clear()
+    # All words are those of items, in another order.
+    assert not list(index.hits([word_hashes(" ".join(pick.choices(words, k=3000)))]))
+    assert sum(asked) < 300
+    # Items of one word have no pairs.
+    short = decontamination.BenchmarkIndex([(1, "abc"), (2, "def")], min_words=1)
+    assert {(t, i) for t, i, *_ in short.hits([word_hashes("x abc y"), word_hashes("def"), word_hashes("abc def")])} == {(0, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_windows_hold_enough_pairs():
+    pick = random.Random(9)
+    for _ in range(200):
+        at = np.array(sorted(pick.sample(range(40), pick.randint(0, 20))), np.int64)
+        width, least = pick.randint(2, 12), pick.randint(-1, 6)
+        expected = [b for b in range(40) if sum(b <= x <= b + width - 2 for x in at) >= least]
+        assert decontamination.BenchmarkIndex._begins(None, at, width, least, 40).tolist() == expected
