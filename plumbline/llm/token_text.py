@@ -31,7 +31,7 @@ _MARKS = ".,;:!?*#$%&()"
 #: Letters below this are letters in every version of the character tables.
 _LATIN = "ɐ"
 #: Characters of the texts that are worked on together.
-_PIECE = 8_000_000
+_PIECE = 4_000_000
 
 
 def id_bytes(ids) -> bytes:
@@ -57,7 +57,9 @@ class WordIds(dict):
     """Word to the ids of the word with what leads it in a text (``lead``, a space or nothing).
 
     A word that begins with a line end is not led by a space. ``marks`` has the ids
-    of rows of marks that end words.
+    of rows of marks that end words. Between two groups of texts at most ``max_words``
+    words are kept. Beyond that, half as many stay, first those that came in more than one
+    group, since most words come once and would only fill memory.
     """
 
     def __init__(self, tokenizer, lead: str, folds_case: bool, max_words: int, max_chars: int) -> None:
@@ -65,6 +67,7 @@ class WordIds(dict):
         self.tokenizer, self.lead, self.folds_case = tokenizer, lead, folds_case
         self.max_words, self.max_chars = max_words, max_chars
         self.marks: dict[str, bytes] = {}
+        self.again: dict[str, None] = {}
         self.model, self.letters = tokenizer.model, byte_letters()
 
     def _encode(self, text: str) -> list[int]:
@@ -94,15 +97,18 @@ class WordIds(dict):
         else:
             ids = id_bytes(self._encode(word if word.startswith("\n") else self.lead + word))
         if len(word) <= self.max_chars:
-            self._make_room(1)
             self[word] = ids
         return ids
 
-    def _make_room(self, n: int) -> None:
-        """Forget the half that was met first."""
-        if len(self) + n > self.max_words:
-            for word in list(islice(self, len(self) // 2)):
-                del self[word]
+    def make_room(self) -> None:
+        """After a group of texts: if there are too many words, keep those that were met again, then the newest."""
+        if len(self) > self.max_words:
+            half = self.max_words // 2
+            kept = dict.fromkeys([*islice(self.again, half), *islice(reversed(self), half)])
+            kept = [(w, self[w]) for w in islice(kept, half)]
+            self.clear()
+            self.update(kept)
+            self.again = {}
 
     def meet(self, words: Iterable[str]) -> None:
         """Learn the plain words among ``words`` that are not known yet, and their forms with marks and capitals.
@@ -110,12 +116,13 @@ class WordIds(dict):
         Neither the normaliser nor the split of the tokenizer changes a plain word, so its
         model and its byte alphabet alone give the ids.
         """
+        words = list(words)
+        self.again.update((w, None) for w in words if w in self)
         forms = [(w, self._base(w)) for w in words if w not in self]
         new = [
             w for w in dict.fromkeys(base for _, base in forms)
             if w not in self and len(w) <= self.max_chars and _plain(w) and (not self.folds_case or w == w.lower())
         ]
-        self._make_room(len(forms) + len(new))
         told = "\n".join(new).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[10])) if new else []
         lead, tokenize = "".join(chr(self.letters[ord(c)]) for c in self.lead), self.model.tokenize
         for word, letters in zip(new, told, strict=True):
@@ -128,7 +135,7 @@ class WordIds(dict):
 class TextEncoder:
     """Ids of whole texts by a tokenizer file, without added begin or end tokens."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000, max_chars: int = 40) -> None:
+    def __init__(self, path: str, max_words: int = 200_000, max_chars: int = 40) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -165,6 +172,7 @@ class TextEncoder:
         different, places = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         self.words.meet(different)
         ids = [self.words[w] if w or self.keeps_space else b"" for w in different]
+        self.words.make_room()
         if self.keeps_space:
             # No space stands in front of the first word of a text.
             first = {w: n for n, w in enumerate({different[p] for p in places[starts[:-1]]})}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest_llm import make_docs, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm.common import shared_folder
 from plumbline.llm.packing import best_fit_decreasing, cut_documents, pack, pack_documents, sequences
+from plumbline.llm.shingles import WordHashes
 from plumbline.llm.token_counts import count_tokens, stored_counts
 from plumbline.llm.token_text import TextEncoder, tokenizer_version
 
@@ -136,3 +138,22 @@ def test_pack_documents(spark):
     whole = {r.sequence_id: (r.n_ids, len(r.ids)) for r in sequences(pack(pieces)).collect()}
     assert all(n * 4 == size for n, size in whole.values()) and len(whole) == len(windows)
     assert pack_documents(docs.limit(0), WORDS).count() == 0
+
+
+def test_words_kept_by_a_worker_are_bounded():
+    plain, own = Tokenizer.from_file(WORDS), TextEncoder(WORDS, max_words=300)
+    often = [f"often{c}" for c in "abcdefghij"]
+    for n in range(8):
+        text = " ".join([*(f"x{n}y{k}" for k in range(100)), *often])
+        assert np.frombuffer(own.encode_all([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(own.words) <= 300 and (n == 0 or own.words.keys() >= set(often))
+    most = TextEncoder(WORDS)
+    many = [" ".join(f"x{n}y{k}" for k in range(n * 50_000, (n + 1) * 50_000)) for n in range(5)]
+    for text in many:
+        most.encode_all([text])
+    assert len(most.words) <= 200_000
+    hashes = WordHashes()
+    for text in many:
+        assert [hashes[w] for w in text.split()[:3]] == [xxhash.xxh64_intdigest(w) for w in text.split()[:3]]
+        any(hashes[w] is None for w in text.split())
+        assert len(hashes) <= 100_000
