@@ -157,3 +157,23 @@ def test_words_kept_by_a_worker_are_bounded():
         assert [hashes[w] for w in text.split()[:3]] == [xxhash.xxh64_intdigest(w) for w in text.split()[:3]]
         any(hashes[w] is None for w in text.split())
         assert len(hashes) <= 100_000
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_forms_of_a_word_are_kept_once(path):
+    plain, own = Tokenizer.from_file(path), TextEncoder(path)
+    stems = [f"{a}an{b}" for a in "bdfgkéñø" for b in "lmrstöß"]
+    cases = stems if path == BYTES else [*stems, *(w.capitalize() for w in stems), *(w.upper() for w in stems if "ß" not in w)]
+    words = [w + marks for w in cases for marks in ("", ".", ",", "!!", "***", "?)...")]
+    for text in (" ".join(["", *words]), "\n".join(words) if path == WORDS else " ".join(["x", *reversed(words)])):
+        assert np.frombuffer(own.encode_all([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(own.words) <= len(stems) + 2
+
+
+def test_words_at_the_edge_of_the_columns():
+    words = ["İx", "xİ.", "Ⱥb", "ⱥ.", "ſ", "ŉa,", "a×b", "×", "÷.", "Ÿ", "ĳ", "Ĳ.", "ǅ", "ɐa", "é" * 41 + ".", "a" * 41, "É" * 40, "a.b.", ".a", "..", "ª", "µ."]
+    texts = [" ".join(words), *words, " ".join(w + " " + w.swapcase() for w in words), *(w + " a" for w in words), *("a " + w for w in words)]
+    for path in (BYTES, WORDS):
+        plain, own = Tokenizer.from_file(path), TextEncoder(path)
+        for text, ids in zip(texts, own.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
