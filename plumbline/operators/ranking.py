@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,19 +238,17 @@ def _unscored(
     return _best(empty.select("query_id", "doc_id", F.lit(0.0).alias("raw")), k).drop("rank")
 
 
-def _postings(docs: DataFrame, weights: DataFrame, stats: CorpusStats, tokenizer: str) -> DataFrame:
-    """(doc_id, term, part) of the terms that ``weights`` asks for."""
-    tokens = ix.spread(_matched_tokens(docs, weights, tokenizer), stats.n_docs * stats.avg_len, "doc_id", "term")
-    counted = tokens.groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
-    )
-    return counted.select("doc_id", "term", ix.part_of(F.col("tf"), F.col("dl"), stats.avg_len, K1, B).alias("part"))
+def _index(docs: DataFrame, weights: DataFrame, stats: CorpusStats, tokenizer: str) -> ix.InvertedIndex:
+    """Index of the terms that ``weights`` asks for."""
+    known = stats.terms.join(weights.select("term").distinct(), "term", "left_semi").toArrow()
+    tokens = docs.select("doc_id", TOKENIZERS[tokenizer](F.col("content")).alias("tokens"))
+    part = partial(ix.part_of, avg_len=stats.avg_len, k1=K1, b=B)
+    return ix.build_index(tokens, known["term"].combine_chunks(), part, stats.n_docs, pc.sum(known["df"]).as_py() or 0)
 
 
 def bm25_index(queries: DataFrame, docs: DataFrame, stats: CorpusStats, tokenizer: str = "whitespace") -> ix.InvertedIndex:
     """Index of the terms that ``queries`` name; it serves any queries of these terms."""
-    weights = _query_weights(queries, stats, tokenizer)
-    return ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs)
+    return _index(docs, _query_weights(queries, stats, tokenizer), stats, tokenizer)
 
 
 def bm25_topk(
@@ -273,7 +273,7 @@ def bm25_topk(
     if stats.mean_idf < 0 or not stats.n_docs:
         return _dense_topk(queries, docs, k, stats, tokenizer)
     weights = cut_lineage(_query_weights(queries, stats, tokenizer).where(F.col("weight") > 0))
-    index = index or ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs)
+    index = index or _index(docs, weights, stats, tokenizer)
     sure = cut_lineage(ix.with_unmatched(queries, weights, index))
     found = _sparse_topk(sure, docs, k, stats, weights.join(sure.select("query_id"), "query_id", "left_semi"), index)
     if sure.count() == queries.count():
@@ -351,7 +351,7 @@ def bm25_hits(
         found = _top_and_spread(queries, docs, k, stats, tokenizer)
     else:
         weights = cut_lineage(_query_weights(queries, stats, tokenizer).where(F.col("weight") > 0))
-        found = ix.top(weights, ix.build_index(_postings(docs, weights, stats, tokenizer), stats.n_docs), k)
+        found = ix.top(weights, _index(docs, weights, stats, tokenizer), k)
     best = found.where(F.col("raw") > 0).select("query_id", "doc_id", "raw")
     hits = _best(best, k)
     return hits.withColumn("score", minmax(F.col("raw"), list_of("query_id")))
