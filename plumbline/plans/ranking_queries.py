@@ -14,6 +14,7 @@ from plumbline.operators.response_logs import logged_documents, rejected_payload
 from plumbline.operators.retrieval_metrics import long_form_metrics
 from plumbline.plans import views
 from plumbline.plans.metric_queries import rounded
+from plumbline.session import cut_lineage
 
 TOP = 5
 
@@ -47,7 +48,9 @@ def retrieval_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank documents by BM25, then score the lists against the relevant documents."""
     queries, docs = views.rank_queries(spark, sf_dir), views.rank_docs(spark, sf_dir)
     ranked = ranking.bm25_topk(queries, docs, TOP)
-    scored = long_form_metrics(ranked, views.relevant(spark, sf_dir), queries, k=3)
+    # Few rows, read twice.
+    relevant = cut_lineage(views.relevant(spark, sf_dir))
+    scored = long_form_metrics(ranked, relevant, queries, k=3)
     names = [c for c in scored.columns if c != "query_id"]
     return scored.select("query_id", *[rounded(n) for n in names])
 

@@ -11,6 +11,7 @@ from plumbline.functions.vectors import hash_embedding
 from plumbline.operators import ranking, vector_ranking
 from plumbline.operators.numbering import number_rows
 from plumbline.operators.response_logs import logged_documents
+from plumbline.plans import views
 
 
 def brute_bm25(queries, docs, k):
@@ -147,3 +148,17 @@ def test_number_rows_with_a_hot_leading_key(spark):
     df = spark.createDataFrame(rows, "a long, b int").repartition(7)
     got = sorted((r["row_no"], r["a"], r["b"]) for r in number_rows(df, "a", "b").collect())
     assert got == [(n, a, b) for n, (a, b) in enumerate(sorted(rows))]
+
+
+def test_relevant_documents_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Queries are sent to the texts, also by parts; repeated rows stay."""
+    docs = [(1, "one two three four five"), (1, "one two three four five"), (2, "ones two three fours"), (3, "four"), (None, "one two"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = [(1, "one two three"), (2, "four"), (2, "two three four"), (3, "no such words"), (None, "four"), (4, None)]
+    spark.createDataFrame(queries, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(1, 1), (1, 1), (2, 1), (2, 1), (2, 1), (2, 1), (2, 2), (2, 2), (2, 3)]
+    found = views.relevant(spark, str(tmp_path))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(views, "RELEVANT", 2)
+    assert sorted(map(tuple, views.relevant(spark, str(tmp_path)).collect())) == want
