@@ -69,6 +69,16 @@ def test_few_texts_are_verified(spark):
     assert {(min(p), max(p)) for p in found} >= close and len(found) < 2 * len(close)
 
 
+def test_duplicate_texts_of_either_parities(spark, monkeypatch):
+    """Sets with all parities, with half of them, and pairs of both."""
+    monkeypatch.setattr(du, "HALF", 12)
+    texts = random_texts(80, 5)
+    got = du.duplicate_texts(docs_df(spark, texts), 0.7).agg(F.sum("n_pairs")).first()[0]
+    pairs = [(a, b) for a, b in itertools.combinations(texts, 2) if jac(a, b) >= 0.7]
+    sizes = [(len(set(a.split())) > 12) + (len(set(b.split())) > 12) for a, b in pairs]
+    assert got == len(pairs) and set(sizes) == {0, 1, 2}
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.92])
 def test_duplicate_texts_with_crowded_buckets(spark, monkeypatch, threshold):
     """Few buckets and one word list of several slices change no pair."""
@@ -178,3 +188,57 @@ def test_run_audit_merges_checks(spark):
         au.run_audit(docs, AS_OF, ["nope"])
     with pytest.raises(ValueError):
         au.run_audit(docs, AS_OF, ["coverage"])
+
+
+def test_pairs_are_named_once(spark):
+    """A pair of near copies leaves the join by words once, not once for each rare word it shares."""
+    rng = random.Random(9)
+    base = rng.sample([f"w{i}" for i in range(3000)], 150)
+    texts = [" ".join([*base[:n], *base[n + 1 :], f"own{n}"]) for n in range(0, 120, 3)]
+    groups = du._word_groups(docs_df(spark, texts)).withColumn("words", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    found = du._candidates(du._prefixes(groups, 0.8).cache(), 0.8)
+    rows = found.count()
+    assert rows == len(texts) * (len(texts) - 1) // 2
+    assert joined_rows(found) < 1.5 * rows
+
+
+def test_repeated_ids_and_many_buckets(spark, monkeypatch):
+    """Texts are found whatever bucket they are in; an id of two texts stands for both."""
+    monkeypatch.setattr(du, "SETS", 3)
+    texts = random_texts(70, 11)
+    docs = [(i % 60, t) for i, t in enumerate(texts)]
+    got = du.duplicate_texts(spark.createDataFrame(docs, "doc_id long, content string"), 0.6).where("doc_b is not null")
+    groups = du._word_groups(spark.createDataFrame(docs, "doc_id long, content string"))
+    hashed = groups.withColumn("words", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    pairs = du._candidates(du._prefixes(hashed, 0.6), 0.6).collect()
+    sets = [(r.id, r.copies, set(r.text.split())) for r in groups.collect()]
+    want = []
+    for (x, nx, a), (y, ny, b) in itertools.product(sets, sets):
+        similarity = len(a & b) / len(a | b)
+        if similarity >= 0.6:
+            want += [(min(x, y), max(x, y), similarity, nx * ny)] * sum((p.a_id, p.b_id) == (x, y) for p in pairs)
+    assert sorted((r.doc_a, r.doc_b, r.similarity, r.n_pairs) for r in got.collect()) == sorted(want)
+
+
+def joined_rows(found):
+    """Rows that the join by words gives to the count of pairs."""
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+
+    def walk(node):
+        yield node
+        children = node.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    final = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+    counts = []
+    todo = list(walk(final))
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName():
+            todo += list(walk(node.plan()))
+        elif "Join" in node.nodeName():
+            metric = node.metrics().get("numOutputRows")
+            counts.append(metric.get().value())
+    return counts[0]
